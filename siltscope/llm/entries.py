@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siltscope.llm.bpe import op10_bpe
 from siltscope.llm.packing import op8_best_fit
+from siltscope.llm.quality import op9_quality_rules
 from siltscope.llm.token_counts import op7_token_counts
 from siltscope.llm.token_files import op3_token_files
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op7_token_counts": op7_token_counts,
     "op8_best_fit": op8_best_fit,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
 #: None of the contracts' ids, fingerprints and packings can be stated in SQL; the tests hold each against brute force.
