@@ -132,7 +132,7 @@ def _merge(leaves: DataFrame, capacity: int, open_bins: int, fan_in: int) -> Dat
     while tasks > 1:
         groups = -(-tasks // fan_in)
 
-        def run(key, batch: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
             bins, base = Bins(capacity, open_bins * 4), (level << 56) | (key[0].as_py() << 32)
             order = batch.sort_by([("length", "descending"), ("item", "ascending")])
             got = [bins.put(n) for n in order.column("length").to_pylist()]
