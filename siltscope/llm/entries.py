@@ -5,11 +5,13 @@ from __future__ import annotations
 from siltscope.llm.bpe import op10_bpe
 from siltscope.llm.packing import op8_best_fit
 from siltscope.llm.quality import op9_quality_rules
+from siltscope.llm.simhash import op5_simhash
 from siltscope.llm.token_counts import op7_token_counts
 from siltscope.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
