@@ -8,14 +8,16 @@ from siltscope.llm.quality import op9_quality_rules
 from siltscope.llm.simhash import op5_simhash
 from siltscope.llm.token_counts import op7_token_counts
 from siltscope.llm.token_files import op3_token_files
+from siltscope.llm.topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op7_token_counts": op7_token_counts,
     "op8_best_fit": op8_best_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
-#: None of the contracts' ids, fingerprints and packings can be stated in SQL; the tests hold each against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Ids, fingerprints, packings and suffix arrays can't be stated in SQL; the tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
