@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from siltscope.llm.bpe import op10_bpe
+from siltscope.llm.licenses import op1_licenses
 from siltscope.llm.packing import op8_best_fit
+from siltscope.llm.pii import op4_pii
 from siltscope.llm.quality import op9_quality_rules
 from siltscope.llm.simhash import op5_simhash
 from siltscope.llm.token_counts import op7_token_counts
@@ -11,7 +13,9 @@ from siltscope.llm.token_files import op3_token_files
 from siltscope.llm.topk import OP6_SQL, op6_topk
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op3_token_files": op3_token_files,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_token_counts": op7_token_counts,
