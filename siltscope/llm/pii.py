@@ -283,5 +283,6 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     out = mask(documents(spark, sf_dir).select("doc_id", "text"), EXAMPLE_KEY)
-    counts = [F.size(F.filter("pii_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    is_kind = lambda k: lambda x: x["kind"] == k
+    counts = [F.size(F.filter("pii_spans", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_finds"), *counts)
