@@ -1,10 +1,10 @@
 """Operator 3: flat token-id files with 64-bit document offsets, written for memory mapping.
 
 Documents are range-partitioned by id, so that part k's ids all come before part k+1's. Each task encodes its documents into one
-flat file of unsigned 32-bit ids and one of 64-bit offsets; the driver sees one row for each part (its number of tokens and
+flat file of unsigned ids and one of 64-bit offsets; the driver sees one row for each part (its number of tokens and
 documents) and sets the parts' bases by prefix sums. Reading maps the files and touches only the spans asked for.
 
-Part p is four files in the shared folder: p.ids (uint32), p.off (uint64, documents + 1, counted from the part's start), p.doc
+Part p is four files in the shared folder: p.ids (uint16 where the vocabulary fits, else uint32), p.off (uint64, documents + 1, counted from the part's start), p.doc
 (int64 document ids) and p.nul (uint8, 1 where the document id was null). A task writes under a name of its own attempt and
 renames at the end, so repeated and speculative attempts leave one whole set. All numbers are little-endian.
 
@@ -40,8 +40,9 @@ def local(path: str) -> str:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, docs_per_part: int = 8192) -> DataFrame:
-    """Write docs (doc_id, text) as token files under path; returns a row for each part: part, base_doc, base_token, n_docs, n_tokens."""
+    """Write docs (doc_id, text) as token files under path; returns a row for each part: part, base_doc, base_token, n_docs, n_tokens, width."""
     spark, folder = docs.sparkSession, local(path)
+    width = 2 if max(encoder(tokenizer).n_ids - 1, end_id) < 1 << 16 else 4
     ship(spark)
     rows = docs.count()
     parts = max(1, -(-rows // docs_per_part))
@@ -50,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, end, mine = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
+        part, enc, end, mine = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], f"<u{width}").tobytes(), uuid.uuid4().hex
         os.makedirs(folder, exist_ok=True)
         tmp = {k: f"{folder}/.{part}-{mine}.{k}" for k in ("ids", "off", "doc", "nul")}
         total = n = 0
@@ -60,7 +61,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
                 starts = np.empty(b.num_rows, "<u8")
                 for i, text in enumerate(b.column("text")):
                     got = enc.ids(text.as_py())
-                    ids.write(got)
+                    ids.write(got if width == 4 else np.frombuffer(got, "<u4").astype("<u2").tobytes())
                     ids.write(end)
                     total += len(got) // 4 + 1
                     starts[i] = total
@@ -80,18 +81,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     got = sorted(tuple(r) for r in ordered.mapInArrow(run, PARTS).collect())  # one row for each part, of some thousand documents
     out, base_doc, base_token = [], 0, 0
     for part, n_docs, n_tokens in got:
-        out.append((part, base_doc, base_token, n_docs, n_tokens))
+        out.append((part, base_doc, base_token, n_docs, n_tokens, width))
         base_doc, base_token = base_doc + n_docs, base_token + n_tokens
-    return spark.createDataFrame(out, "part int, base_doc long, base_token long, n_docs long, n_tokens long")
+    return spark.createDataFrame(out, "part int, base_doc long, base_token long, n_docs long, n_tokens long, width int")
 
 
-def open_part(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def open_part(folder: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A part's ids, offsets, document ids and null marks, memory-mapped."""
-    return tuple(np.memmap(f"{folder}/{part}.{k}", dtype=t, mode="r") for k, t in (("ids", "<u4"), ("off", "<u8"), ("doc", "<i8"), ("nul", "u1")))
+    return tuple(np.memmap(f"{folder}/{part}.{k}", dtype=t, mode="r") for k, t in (("ids", f"<u{width}"), ("off", "<u8"), ("doc", "<i8"), ("nul", "u1")))
 
 
 def read_token_files(parts: DataFrame, path: str, chunk: int = 4096) -> DataFrame:
-    """A row for each document in the files: doc_id, start, n_tokens, ids (binary, as stored)."""
+    """A row for each document in the files: doc_id, start, n_tokens, ids (binary: little-endian unsigned 32-bit)."""
     return _each(parts, path, "ids binary", lambda x: x.tobytes(), pa.binary(), chunk)
 
 
@@ -107,7 +108,7 @@ def _each(parts: DataFrame, path: str, field: str, of, kind, chunk: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                ids, off, doc, nul = open_part(folder, row["part"])
+                ids, off, doc, nul = open_part(folder, row["part"], row["width"])
                 off = np.asarray(off).astype("i8")
                 for i in range(0, row["n_docs"], chunk):
                     j = min(i + chunk, row["n_docs"])
@@ -115,7 +116,7 @@ def _each(parts: DataFrame, path: str, field: str, of, kind, chunk: int) -> Data
                         "doc_id": pa.array(np.asarray(doc[i:j]), pa.int64(), mask=np.asarray(nul[i:j]).astype(bool)),
                         "start": pa.array(off[i:j] + row["base_token"]),
                         "n_tokens": pa.array(off[i + 1 : j + 1] - off[i:j]),
-                        name: pa.array([of(ids[s:e]) for s, e in zip(off[i:j], off[i + 1 : j + 1])], kind),
+                        name: pa.array([of(ids[s:e].astype("<u4")) for s, e in zip(off[i:j], off[i + 1 : j + 1])], kind),
                     })
 
     spread = max(1, parts.count())
