@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltscope.llm.bpe import op10_bpe
+from siltscope.llm.dedup import op2_suffix_dedup
 from siltscope.llm.licenses import op1_licenses
 from siltscope.llm.packing import op8_best_fit
 from siltscope.llm.pii import op4_pii
@@ -14,6 +15,7 @@ from siltscope.llm.topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_files": op3_token_files,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
