@@ -270,7 +270,7 @@ def strip(texts: DataFrame, found: DataFrame, width: int, whole_characters: bool
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the repeated strings in their column text; whole characters only. Null texts stay null."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    new = strip(texts, repeats(texts, width), width, True).select(F.col("digest").alias("__digest"), F.decode("kept", F.lit("UTF-8")).alias("__kept"))
+    new = strip(texts, repeats(texts, width), width, True).select(F.col("digest").alias("__digest"), F.decode("kept", "UTF-8").alias("__kept"))
     new = cut(new, "stripped")
     out = docs.withColumn("__digest", F.unhex(F.md5("text"))).join(new, "__digest", "left")
     return out.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -133,8 +133,8 @@ def measure(texts: list[str], min_words: int) -> list[list[int]]:
     return [list(n_words), chars, symbols, dup, list(repeat), list(covered), list(longest)]
 
 
-def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.45, max_longest: int = 100) -> DataFrame:
-    """docs (with columns doc_id and text) plus a struct column q: the measures, base_failed and kept."""
+def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.45, max_longest: int = 100, into: str = "q") -> DataFrame:
+    """docs (with a column text) plus a struct column `into`: the measures, base_failed and kept."""
     ship(docs.sparkSession)
     names = [f.name for f in docs.schema]
 
@@ -143,19 +143,24 @@ def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.45, max_
             for part in slices(b, "text"):
                 got = measure([x or "" for x in part.column("text").to_pylist()], min_words)
                 q = pa.StructArray.from_arrays([pa.array(np.asarray(c, np.int64)) for c in got], names=NAMES)
-                yield pa.RecordBatch.from_arrays([*part.columns, q], names=[*names, "q"])
+                yield pa.RecordBatch.from_arrays([*part.columns, q], names=[*names, into])
 
-    out = docs.mapInArrow(run, _with_q(docs))
-    q = F.col("q")
+    out = docs.mapInArrow(run, _with(docs, into))
+    q = F.col(f"`{into}`")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     fine = (q["covered_words"] <= max_covered * q["n_words"]) & (q["longest_repeat"] <= max_longest)
-    return out.withColumn("q", F.struct(*[q[n].alias(n) for n in NAMES], failed.alias("base_failed"), (~failed & fine).alias("kept")))
+    return out.withColumn(into, F.struct(*[q[n].alias(n) for n in NAMES], failed.alias("base_failed"), (~failed & fine).alias("kept")))
 
 
-def _with_q(docs: DataFrame):
+def _with(docs: DataFrame, into: str):
     from pyspark.sql import types as T
 
-    return T.StructType([*docs.schema.fields, T.StructField("q", T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))])
+    return T.StructType([*docs.schema.fields, T.StructField(into, T.StructType([T.StructField(n, T.LongType()) for n in NAMES]))])
+
+
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of docs that pass, with the columns of docs."""
+    return quality(docs, **limits, into="__quality").where("__quality.kept").drop("__quality")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

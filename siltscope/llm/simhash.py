@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltscope.llm.common import documents, id_and_text
@@ -174,17 +174,41 @@ def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     return found
 
 
+def roots(nodes: DataFrame, radius: int) -> DataFrame:
+    """fp and root (a fingerprint of its component) of each row of nodes (distinct fp)."""
+    root = components(links(nodes, radius))
+    return cut(nodes.join(root, nodes.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     marked = cut(fingerprints(docs, width), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    root = components(links(nodes, radius))
-    named = nodes.join(root, nodes.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = cut(named, "roots")
+    named = nodes.join(roots(nodes, radius), "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(least, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id (null last, then by the text's MD5)."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__md5")]
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x.as_py(), width) for x in b.column("text")], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__md5"), pa.array(fp)], names=["__id", "__md5", "fp"])
+
+    marked = docs.select(*key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "__id long, __md5 string, fp long")
+    marked = cut(marked, "fingerprints")
+    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct("__id", "__md5")).alias("first")), "nodes")
+    stay = nodes.join(roots(nodes, radius), "fp").groupBy("root").agg(F.min("first").alias("x")).select("x.*")
+    held = docs.select("*", *key).join(stay, ["__id", "__md5"], "left_semi")
+    # repeated rows share a key: one of them stays
+    first = F.row_number().over(Window.partitionBy("__id", "__md5").orderBy("__id"))
+    return held.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
