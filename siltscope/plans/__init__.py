@@ -1 +1 @@
-
+"""Whole analyses, reports and the driver's queries."""

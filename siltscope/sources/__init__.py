@@ -1 +1 @@
-
+"""Sources: project folders and the pattern catalogue."""

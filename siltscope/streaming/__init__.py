@@ -1 +1 @@
-
+"""Streaming: the analysis is a batch computation, so nothing is offered here."""
