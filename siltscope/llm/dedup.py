@@ -116,7 +116,7 @@ def repeated_starts(parts: list[bytes], twice: list[bool], width: int, store: St
     t[: len(text)] = text
     t[: len(text)] += 1
     t[begin + size] = 0  # a symbol that ends a segment; bytes are 1 to 256
-    sa, lcp = sort_suffixes(t, store)
+    sa, lcp = sort_suffixes(t, store, least=width)
     far = lcp >= width
     flag = np.zeros(len(t), bool)
     flag[sa[far]] = True
@@ -129,7 +129,7 @@ def _arrays(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 2 << 20) -> DataFrame:
+def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 1 << 20) -> DataFrame:
     """digest (MD5 of the text) and runs (array of struct first, last: starts of repeated windows) of texts with repeats.
 
     texts: a column text without nulls, a row for each document.

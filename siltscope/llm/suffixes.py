@@ -200,7 +200,7 @@ class Minima:
     """Range minima over an array."""
 
     def __init__(self, a: np.ndarray):
-        self.rows = [a]
+        self.rows = [np.minimum(a, np.iinfo(np.int32).max).astype(np.int32)]
         while 2 << (len(self.rows) - 1) <= len(a):
             r, h = self.rows[-1], 1 << (len(self.rows) - 1)
             self.rows.append(np.minimum(r[:-h], r[h:]))
@@ -214,24 +214,42 @@ class Minima:
         return out
 
 
-def equal_ahead(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many symbols from a and from b agree, most at most (an array); texts end there too."""
-    n, out, live, k = len(t), np.zeros(len(a), np.int64), np.arange(len(a)), 0
-    most = np.minimum(most, n - np.maximum(a, b))
-    while len(live):
-        live = live[most[live] > k]
-        live = live[t[a[live] + k] == t[b[live] + k]]
-        k += 1
-        out[live] = k
-    return out
-
-
-def sort_suffixes(t: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of t (whole numbers from 0) and each suffix's common prefix with the one before it."""
+class Ahead:
+    """Common prefixes of any two suffixes. Several symbols are packed to a word, so that most pairs take one look at each."""
+
+    def __init__(self, t: np.ndarray, symbols: int):
+        self.n, self.bits = len(t), max(1, int(symbols).bit_length())
+        self.per = min(7, 63 // self.bits)
+        self.words = np.zeros(self.n + 1, np.int64)
+        for k in range(self.per):
+            self.words <<= self.bits
+            self.words[: max(0, self.n - k)] |= t[k:]
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+        """How many symbols from a and from b agree: most at most, and not beyond the end."""
+        most = np.minimum(most, self.n - np.maximum(a, b))
+        out, live, k = np.zeros(len(a), np.int64), np.flatnonzero(most > 0), 0
+        while len(live):
+            x = self.words[a[live] + k] ^ self.words[b[live] + k]
+            same = np.zeros(len(live), np.int64)
+            for j in range(self.per):
+                same += (x >> (self.bits * j)) == 0
+            out[live] = k + same
+            k += self.per
+            live = live[(x == 0) & (most[live] > k)]
+        return np.minimum(out, most)
+
+
+def sort_suffixes(t: np.ndarray, store: Store, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of t (whole numbers from 0) and each suffix's common prefix with the one before it.
+
+    Common prefixes of fewer than `least` symbols may be given as less than they are.
+    """
     n = len(t)
     if n < 2:
         return np.arange(n), np.zeros(n, np.int64)
     symbols, small = int(t.max()) + 1, small_suffixes(t)
+    ahead = Ahead(t, symbols)
     is_seed = np.zeros(n, bool)
     is_seed[1:] = small[1:] & ~small[:-1]
     seed_at, seed_no = np.flatnonzero(is_seed), np.cumsum(is_seed) - is_seed  # seed_no: of the first seed from here on
@@ -245,7 +263,7 @@ def sort_suffixes(t: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
         size = (stop - seed_at)[seed_no[sub]]
         a, b = sub[:-1], sub[1:]
         same = size[:-1] == size[1:]
-        same[same] = equal_ahead(t, a[same], b[same], size[1:][same]) == size[1:][same]
+        same[same] = ahead.common(a[same], b[same], size[1:][same]) == size[1:][same]
         same &= (size[:-1] + a < n + 1) & (b + size[1:] <= n)
         same &= (a != seed_at[-1]) & (b != seed_at[-1])  # the last one has no next seed: it is alone
         name = np.cumsum(np.r_[0, ~same])
@@ -256,16 +274,14 @@ def sort_suffixes(t: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
             below, lcp = sort_suffixes(named, store)
             seeds = seed_at[below]
             # whole substrings in common, then symbols of the next two
-            x, y = np.r_[below[0], below[:-1]], below
-            i, j = x + lcp, y + lcp
-            reach = np.r_[seed_at, n]
-            held = reach[np.minimum(j, m)] - seed_at[y]
-            more = equal_ahead(t, np.minimum(seed_at[x] + held, n), np.minimum(seed_at[y] + held, n), np.full(m, n))
-            seed_lcp = held + more
-            seed_lcp[0] = 0
+            x, y = below[:-1], below[1:]
+            reach = np.append(seed_at, n)
+            held = reach[np.minimum(y + lcp[1:], m)] - seed_at[y]
+            more = ahead.common(np.minimum(seed_at[x] + held, n), np.minimum(seed_at[y] + held, n), n)
+            seed_lcp[1:] = held + more
         else:
             seeds = sub
-            seed_lcp[1:] = equal_ahead(t, a, b, np.full(m - 1, n))
+            seed_lcp[1:] = ahead.common(a, b, n)
         seed_rank[seed_no[seeds]] = np.arange(m)
     sa = induce(store, t, small, symbols, seeds)
     lcp = store.array(n)
@@ -274,11 +290,15 @@ def sort_suffixes(t: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
         a, b = sa[lo - 1 : min(n, lo + (1 << 20)) - 1], sa[lo : min(n, lo + (1 << 20))]
         na, nb = seed_no[a], seed_no[b]
         da, db = (next_seed[x] - p for x, p in ((na, a), (nb, b)))
-        got = equal_ahead(t, a, b, np.where(da == db, da, n))
-        at_seed = (da == db) & (got == da) & (na < m) & (nb < m)
-        if at_seed.any():
-            ra, rb = seed_rank[na[at_seed]], seed_rank[nb[at_seed]]
+        # pairs that reach a seed together: the symbols before it, then the seeds' common prefix
+        met = (da == db) & (na < m) & (nb < m)
+        beyond = np.zeros(len(a), np.int64)
+        if met.any():
+            ra, rb = seed_rank[na[met]], seed_rank[nb[met]]
             first, last = np.minimum(ra, rb), np.maximum(ra, rb)
-            got[at_seed] += np.where(first == last, n, minima.of(first + 1, np.maximum(last + 1, first + 2)))
-        lcp[lo : lo + len(a)] = got
+            beyond[met] = np.where(first == last, n, minima.of(first + 1, np.maximum(last + 1, first + 2)))
+        look = ~met | (da + beyond >= least)
+        got = np.zeros(len(a), np.int64)
+        got[look] = ahead.common(a[look], b[look], np.where(met, da, n)[look])
+        lcp[lo : lo + len(a)] = np.where(met & (got == da), got + beyond, got)
     return sa, lcp
