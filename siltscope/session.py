@@ -11,13 +11,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _made: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application.
+
+    Rows that hold texts go to Python in batches of a thousand at most, unless the session asks for another number: with the
+    default of ten thousand a batch of long texts takes tens of MB on both sides.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
