@@ -124,12 +124,25 @@ def repeated_starts(parts: list[bytes], twice: list[bool], width: int, store: St
     return [np.flatnonzero(flag[b : b + n - width + 1] | two) for b, n, two in zip(begin, size, twice)]
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _arrays(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 1 << 20) -> DataFrame:
+def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 1 << 19) -> DataFrame:
     """digest (MD5 of the text) and runs (array of struct first, last: starts of repeated windows) of texts with repeats.
 
     texts: a column text without nulls, a row for each document.
@@ -197,6 +210,7 @@ def repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = H
     shards = max(1, int(total // shard_bytes) + 1)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         rows = [r for b in batches for r in b.to_pylist()]  # a shard
         if not rows:
             return
