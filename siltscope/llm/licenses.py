@@ -47,7 +47,7 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ("redistribution",)),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
-    ("CC0-1.0", "Licensed under CC0 1.0 Universal.", ("cc0",)),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal.", ("cc", "0", "1.0")),
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by", "sa", "4.0")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by", "nc", "4.0")),
