@@ -34,6 +34,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(free)) for b in range(256)]
 
 
+def beyond_latin() -> re.Pattern:
+    """Characters that are at or above 0x250, or have a lower case there: latin_pieces does not know them."""
+    return re.compile("[^" + "".join(f"\\u{c:04x}" for c in range(0x250) if all(ord(x) < 0x250 for x in chr(c).lower())) + "]")
+
+
 def latin_pieces() -> re.Pattern:
     """WORD_LEVEL for lower-case texts whose code points are all below 0x250, with classes that the faster re module knows."""
     import unicodedata
@@ -91,7 +96,7 @@ class Encoder:
                 self.split = BARE
                 letters, latin, tokenize = byte_letters(), re.compile(LATIN), self.lib.model.tokenize
                 self.word = lambda w: [t.id for t in tokenize("".join([letters[b] for b in w.lower().encode()]))] if latin.fullmatch(w) else self.lib.encode(w, add_special_tokens=False).ids
-                piece, self.beyond = latin_pieces(), re.compile("[^\\u0000-\\u012f\\u0131-\\u024f]")
+                piece, self.beyond = latin_pieces(), beyond_latin()
                 self.pieces = lambda text: piece.findall(text.lower())
                 self.piece = lambda w: [t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]))]
             self.whole = lambda text: self.lib.encode(text, add_special_tokens=False).ids

@@ -80,6 +80,13 @@ def test_ids_are_the_librarys(text):
         assert np.frombuffer(e.ids(text), "<u4").tolist() == e.whole(text) and e.count(text) == len(e.whole(text))
 
 
+def test_ids_of_every_latin_letter_in_a_word():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.encoder(P.path(name))
+        texts = [t.format(chr(c)) for c in range(0x250) for t in ("a{0}b", "A{0} {0}b", "日 a{0}b")]
+        assert [t for t in texts if np.frombuffer(e.ids(t), "<u4").tolist() != e.whole(t) or e.count(t) != len(e.whole(t))] == []
+
+
 def test_pieces_model_is_whole():
     e = tokens.Encoder(P.path("piece_bpe_32k.model"))
     assert e.count(TEXTS[0][1]) == len(e.lib.encode(TEXTS[0][1]))
