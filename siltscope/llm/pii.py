@@ -200,6 +200,22 @@ def is_ip(s: str) -> bool:
     return all(int(p) < 256 and (p == "0" or p[0] != "0") for p in s.split("."))
 
 
+#: The length of an account number in each country of the registry.
+IBAN_LENGTH = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in names.split()}
+
+
+def iban_ends(s: str) -> list[int]:
+    """Where an account number may end in s, which may hold the next words too: at its country's length, else where s does."""
+    n = IBAN_LENGTH.get(s[:2])
+    return [i for i, c in enumerate(s) if c == " " and i - s.count(" ", 0, i) == n] + [len(s)]
+
+
+#: Where a find of a kind may end within its match, in the order of trial; other kinds end where the match does.
+ENDS: dict[str, Callable[[str], list[int]]] = {"iban": iban_ends}
 #: Prefixes of well-known key formats.
 PREFIXED = re.compile(r"AKIA|ASIA|gh[opsur]_|sk-|sk_|xox[abp]-|AIza")
 #: kind, pattern, check; the order decides between finds at the same place. A group, if there is one, is the part to replace.
@@ -221,12 +237,27 @@ _compiled = [(k, re.compile(p), ok, k == "secret") for k, p, ok in RULES]
 _some = re.compile(r"[0-9@]")
 
 
+def within(kind: str, rx: re.Pattern, ok: Callable[[str], bool], text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the confirmed finds of a kind of ENDS. A match that fails hides none that begins inside it."""
+    at = 0
+    while m := rx.search(text, at):
+        at = m.start() + 1
+        for n in ENDS[kind](m.group()):
+            if ok(m.group()[:n]):
+                at = m.start() + n
+                yield m.start(), at
+                break
+
+
 def finds(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the finds, in order and apart from each other."""
     if not _some.search(text):
         return []
     got = []
     for order, (kind, rx, ok, inner) in enumerate(_compiled):
+        if kind in ENDS:
+            got += [(s, -e, order, kind) for s, e in within(kind, rx, ok, text)]
+            continue
         for m in rx.finditer(text):
             g = 1 if inner and m.re.groups and m.group(1) else 0
             if ok is None or ok(m.group(g)):

@@ -427,6 +427,16 @@ def test_clean_text_stays():
         assert pii.finds(t) == []
 
 
+def test_account_numbers_before_words_and_numbers():
+    for iban in ("AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "AT611904300234573201"):
+        for before in ("", "Konto ", "RF18 5390 ", "AB12 "):
+            for after in ("", ".", " BIC OPSKATWW", " OPSKATWW", " EUR 50", " 2024 on", " 12", " AB 1234 CDEF 99", " and"):
+                text = f"{before}{iban}{after}"
+                spans = [(s, e) for s, e, kind in pii.finds(text) if kind == "iban" and s <= len(before) and e >= len(before) + len(iban)]
+                assert spans == [(len(before), len(before) + len(iban))] or before == "AB12 " and spans  # one such text is an account number as a whole
+    assert all(kind != "iban" for *_, kind in pii.finds("AT61 1904 3002 3457 3202 EUR"))
+
+
 def test_secret_after_a_name():
     out, spans = pii.pseudonymize('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', pii.Pseudonyms(b"k"))
     assert spans[0][2] == "secret" and re.fullmatch(r'token = "[0-9a-f]{40}"', out)
