@@ -178,7 +178,7 @@ def date_of(s: str) -> tuple[datetime.date, Callable[[datetime.date], str]] | No
 
 def is_card(s: str) -> bool:
     d = re.sub(r"\D", "", s)
-    return 13 <= len(d) <= 19 and len(set(d)) > 1 and (luhn(d) == 0 or (len(d) == 16 and d[0] in "23456"))
+    return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d) == 0
 
 
 def is_phone(s: str) -> bool:
@@ -214,8 +214,13 @@ def iban_ends(s: str) -> list[int]:
     return [i for i, c in enumerate(s) if c == " " and i - s.count(" ", 0, i) == n] + [len(s)]
 
 
+def card_ends(s: str) -> list[int]:
+    """Where a card's number may end in s, which may hold the next number too: where s does, then before each part."""
+    return [len(s), *[i for i in range(len(s) - 1, 0, -1) if s[i] in " -"]]
+
+
 #: Where a find of a kind may end within its match, in the order of trial; other kinds end where the match does.
-ENDS: dict[str, Callable[[str], list[int]]] = {"iban": iban_ends}
+ENDS: dict[str, Callable[[str], list[int]]] = {"iban": iban_ends, "card": card_ends}
 #: Prefixes of well-known key formats.
 PREFIXED = re.compile(r"AKIA|ASIA|gh[opsur]_|sk-|sk_|xox[abp]-|AIza")
 #: kind, pattern, check; the order decides between finds at the same place. A group, if there is one, is the part to replace.
@@ -228,7 +233,7 @@ RULES: list[tuple[str, str, Callable[[str], bool] | None]] = [
     ("date", r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9/-])(?!\.[0-9])", lambda s: date_of(s) is not None),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])", is_ip),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", is_ssn),
-    ("card", r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])", is_card),
+    ("card", r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}(?:[0-9]{4}[ -][0-9]{1,3}|[0-9]{1,7})(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])", is_card),
     ("phone", r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])", is_phone),
 ]
 KINDS = list(dict.fromkeys(k for k, _, _ in RULES))

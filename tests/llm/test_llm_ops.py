@@ -437,6 +437,19 @@ def test_account_numbers_before_words_and_numbers():
     assert all(kind != "iban" for *_, kind in pii.finds("AT61 1904 3002 3457 3202 EUR"))
 
 
+def test_numbers_that_fail_the_check_are_no_cards():
+    for t in ("ble 2123465659789240 eau", "and 5731080387325255 the", "9870157079875996", "order 4111 1111 1111 1112.", "4111-1111-1111-1112"):
+        assert pii.pseudonymize(t, pii.Pseudonyms(b"k")) == (t, [])
+
+
+def test_cards_beside_other_numbers():
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "6304 0000 0000 0000 000"):
+        for text in ("{}", "card {}.", "{} 12", "{} 123", "{} 2024", "in 2024 {} 2024 5", "{} {}"):
+            t = text.format(card, card)
+            spans = [(s, e) for s, e, kind in pii.finds(t) if kind == "card"]
+            assert len(spans) == text.count("{}") and all(s <= t.index(card) for s, _ in spans[:1]) and spans[-1][1] >= t.rindex(card) + len(card), t
+
+
 def test_secret_after_a_name():
     out, spans = pii.pseudonymize('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', pii.Pseudonyms(b"k"))
     assert spans[0][2] == "secret" and re.fullmatch(r'token = "[0-9a-f]{40}"', out)
