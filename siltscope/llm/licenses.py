@@ -70,12 +70,11 @@ def plain_words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def blocks_of(text: str, before: int = 120, after: int = 700) -> list[str]:
-    """Windows around the cues, merged where they overlap. They follow lines where these are short."""
+def blocks_of(text: str, before: int = 200, after: int = 700) -> list[str]:
+    """Windows around the cues, across line ends, merged where they overlap. No template has `before` characters ahead of its first cue."""
     out, last = [], -1
     for m in CUE.finditer(text):
         s, e = max(0, m.start() - before), min(len(text), m.end() + after)
-        s = max(s, text.rfind("\n", 0, m.start()) + 1)
         if out and s <= last:
             out[-1] = (out[-1][0], e)
         else:

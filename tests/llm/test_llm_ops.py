@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -480,6 +481,19 @@ def test_every_template_is_its_own(k):
     assert name in {x[0] for b in licenses.blocks_of(around) for x in licenses.scanner().scan(b)}
 
 
+def licenses_in(text):
+    return {x[0] for b in licenses.blocks_of(text) for x in licenses.scanner().scan(b)}
+
+
+def test_every_template_wrapped():
+    for name, text, _ in licenses.TEMPLATES:
+        for width in (60, 70, 80):
+            for prefix in ("", "# ", " * ", "        // "):
+                lines = "\n".join(prefix + x for x in textwrap.wrap(text, width))
+                assert name in licenses_in(f"{prose(40, width)}\n\n{lines}\n\n{prose(20, 7)}"), (name, width, prefix)
+    assert licenses_in("This one is\nReleased under the MIT\nLicense.") == {"MIT"}
+
+
 def test_relatives_differ():
     of = lambda t: {x[0] for b in licenses.blocks_of(t) for x in licenses.scanner().scan(b)}
     assert of("This work is licensed under the GNU Lesser General Public License, version 3.") == {"LGPL-3.0"}
