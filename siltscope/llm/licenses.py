@@ -2,7 +2,7 @@
 
 Candidate blocks are windows of lines around words that license notices can't do without. Each block is compressed as it is and
 then with each template as a raw zstandard dictionary. How much a dictionary shortens the block ranks the templates: wording that
-the block shares with it is then a reference instead of text. The best few are confirmed by their exact differences: both wordings
+the block shares with it is then a reference instead of text. All that shorten it are confirmed by their exact differences: both wordings
 are reduced to plain words, the template's are aligned with the block's, and the share of the template's words found in order must
 reach a threshold, with the words that tell one license from its relatives (a version, a clause) all present.
 
@@ -59,6 +59,8 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
 ]
 #: Words that make a relative's license another one.
 TELLING = frozenset(("lesser", "affero", "nc", "nd", "sa"))
+#: Words of a short template, and the words that may come between two of its words.
+SHORT, GAP = 12, 6
 #: Every find of CUE holds one of these, in lower case.
 HINTS = ("licen", "spdx", "permission", "redistribution", "reserved", "unencumbered", "commons", "general public", "cc by", "cc-by", "ccby", "cc0", "cc-0", "cc 0")
 #: No notice is without one of these.
@@ -86,10 +88,10 @@ def blocks_of(text: str, before: int = 200, after: int = 700) -> list[str]:
 class Scanner:
     """scan(block) -> [(license, share of the template found, size reduction, words missing)]."""
 
-    def __init__(self, templates=TEMPLATES, level: int = 3, top: int = 6, least_share: float = 0.9):
+    def __init__(self, templates=TEMPLATES, level: int = 3, least_share: float = 0.9):
         import zstandard
 
-        self.top, self.least = top, least_share
+        self.least = least_share
         self.templates = [(name, plain_words(text), frozenset(needed)) for name, text, needed in templates]
         self.bare = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         self.with_template = []
@@ -115,43 +117,61 @@ class Scanner:
             return []
         whole = len(self.bare.compress(" ".join(words).encode()))
         best: dict[str, tuple] = {}
-        order, have = self.ranked(words), frozenset(words)
-        # relatives compress alike: all whose reduction is near a winner's are looked at, and the exact differences decide
-        least = order[min(len(order), self.top) - 1][0] if order else 0
-        for minus, k in order:
+        have = frozenset(words)
+        # relatives compress alike, and a block may hold many notices: each template that shortens it is looked at, and the exact differences decide
+        for minus, k in self.ranked(words):
             name, template, needed = self.templates[k]
-            if minus > least and len(template) > 12 or not needed <= have:
+            if not needed <= have:
                 continue
-            share, missing, near = self.difference(template, words)
-            if share >= self.least and needed <= near and not (near - {*template}) & TELLING:
-                got = (share, len(template), -minus / whole, missing)
+            if found := self.confirmed(template, needed, words):
+                share, missing, span = found
+                got = (share, len(template), -minus / whole, missing, span)
                 if name not in best or got[:2] > best[name][:2]:
                     best[name] = got
-        for name in [a for a in best for b in best if a != b and best[b][1] > best[a][1] and self._inside(a, b)]:
+        for name in [a for a in best for b in best if a != b and best[b][1] > best[a][1] and self._inside(a, b) and self._meet(best[a][4], best[b][4])]:
             best.pop(name, None)
         return sorted((name, x[0], x[2], x[3]) for name, x in best.items())
 
+    def confirmed(self, template: list[str], needed: frozenset[str], words: list[str]) -> tuple[float, list[str], tuple[int, int]] | None:
+        """Share, words missing and span of the first place where the template stands. Places that fail, as a relative's, are taken out."""
+        words = list(words)
+        while True:
+            share, missing, (first, last), run = self.difference(template, words)
+            if run < 3 and run < len(template):
+                return None
+            near = frozenset(words[first:last])
+            if share >= self.least and needed <= near and not (near - {*template}) & TELLING:
+                return share, missing, (first, last)
+            words[first:last] = [""] * (last - first)
+
     def _inside(self, a: str, b: str) -> bool:
         """Whether a's name only says less than b's: BY in BY-NC, 3.0 in 3.0-or-later, BSD in BSD-3-Clause."""
         pa_, pb = (re.split(r"-(?=[A-Za-z])|-(?=[0-9])", x) for x in (a, b))
         return set(pa_) < set(pb)
 
     @staticmethod
-    def difference(template: list[str], words: list[str]) -> tuple[float, list[str], frozenset[str]]:
-        """The share of the template's words that the block has in order, those it lacks, and the words of the aligned stretch."""
+    def _meet(a: tuple[int, int], b: tuple[int, int]) -> bool:
+        return a[0] < b[1] and b[0] < a[1]
+
+    @staticmethod
+    def difference(template: list[str], words: list[str]) -> tuple[float, list[str], tuple[int, int], int]:
+        """The share of the template's words that the block has in order, those it lacks, the aligned stretch, and its longest run."""
         m = SequenceMatcher(None, template, words, autojunk=False)
         found = [b for b in m.get_matching_blocks() if b.size]
         if not found:
-            return 0.0, template, frozenset()
-        hit = {i for b in found for i in range(b.a, b.a + b.size)}
-        first, last = found[0].b, found[-1].b + found[-1].size
-        if last - first > 2 * len(template) + 8:  # scattered words are no notice
-            anchor = max(found, key=lambda b: b.size)
+            return 0.0, template, (0, 0), 0
+        anchor = max(found, key=lambda b: b.size)
+        if found[-1].b + found[-1].size - found[0].b > 2 * len(template) + 8:  # scattered words are no notice
             lo, hi = anchor.b - len(template) - 4, anchor.b + len(template) + 4
             found = [b for b in found if lo <= b.b <= hi]
-            hit = {i for b in found for i in range(b.a, b.a + b.size)}
-            first, last = found[0].b, found[-1].b + found[-1].size
-        return len(hit) / len(template), [w for i, w in enumerate(template) if i not in hit], frozenset(words[first:last])
+        k = found.index(anchor)  # neither are words that stand far apart
+        i = next((i for i in range(k, 0, -1) if found[i].b - found[i - 1].b - found[i - 1].size > GAP + found[i].a - found[i - 1].a - found[i - 1].size), 0)
+        j = next((j for j in range(k + 1, len(found)) if found[j].b - found[j - 1].b - found[j - 1].size > GAP + found[j].a - found[j - 1].a - found[j - 1].size), len(found))
+        if len(template) <= SHORT:
+            found = found[i:j]
+        hit = {i for b in found for i in range(b.a, b.a + b.size)}
+        span = found[0].b, found[-1].b + found[-1].size
+        return len(hit) / len(template), [w for i, w in enumerate(template) if i not in hit], span, anchor.size
 
 
 _scanner: list[Scanner] = []

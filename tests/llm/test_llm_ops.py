@@ -494,6 +494,17 @@ def test_every_template_wrapped():
     assert licenses_in("This one is\nReleased under the MIT\nLicense.") == {"MIT"}
 
 
+def test_many_notices_in_one_block():
+    long = {}
+    for name, text, _ in licenses.TEMPLATES:
+        long[name] = max(long.get(name, ""), text, key=len)
+    for names in (("MIT", "Apache-2.0", "BSD", "ISC", "GPL-3.0-or-later", "MPL-2.0", "EPL-2.0"), ("GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-3.0", "LGPL-3.0", "LGPL-2.1"), tuple(long)):
+        text = "\n\n".join(long[n] for n in names)
+        assert len(licenses.blocks_of(text)) == 1 and licenses_in(text) == {*names}
+    assert licenses_in("Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.") == {"CC-BY-4.0", "CC-BY-NC-4.0"}
+    assert licenses_in("Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.") == {"CC-BY-4.0", "CC-BY-NC-4.0"}
+
+
 def test_relatives_differ():
     of = lambda t: {x[0] for b in licenses.blocks_of(t) for x in licenses.scanner().scan(b)}
     assert of("This work is licensed under the GNU Lesser General Public License, version 3.") == {"LGPL-3.0"}
