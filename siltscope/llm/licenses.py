@@ -57,10 +57,21 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "attribution", "4.0")),
     ("Proprietary", "All rights reserved.", ("rights", "reserved")),
 ]
+#: Identifiers of SPDX-License-Identifier lines, in lower case, and the license listed.
+SPDX: dict[str, str] = {
+    **{n.lower(): n for n in ("MIT", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0")},
+    **{n.lower(): n for n in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")},
+    **{f"{n}{end}".lower(): n for n in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0") for end in ("", "-only")}, "gpl-3.0+": "GPL-3.0-or-later", "gpl-2.0+": "GPL-2.0-or-later",
+}
+TEMPLATES += [(name, f"SPDX-License-Identifier: {key}", ("spdx", "identifier")) for key, name in SPDX.items()]
+#: An identifier line's expression: identifiers, in brackets or not, joined by operators.
+IDENTIFIERS = re.compile(r"(?i)spdx-license-identifier:[ \t]*(\(*[a-z0-9.+-]+\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[a-z0-9.+-]+\)*)*)")
 #: Words that make a relative's license another one.
-TELLING = frozenset(("lesser", "affero", "nc", "nd", "sa"))
+TELLING = frozenset(("lesser", "affero", "nc", "nd", "sa", "noncommercial", "commercial", "sharealike", "share", "noderivatives", "noderivs", "derivatives"))
+#: Words of short templates that a notice may leave out or say otherwise.
+FILLER = frozenset(("this", "work", "is", "released", "licensed", "license", "the", "a", "version", "clause", "universal", "international"))
 #: Words of a short template, and the words that may come between two of its words.
-SHORT, GAP = 12, 6
+SHORT, GAP = 13, 6
 #: Every find of CUE holds one of these, in lower case.
 HINTS = ("licen", "spdx", "permission", "redistribution", "reserved", "unencumbered", "commons", "general public", "cc by", "cc-by", "ccby", "cc0", "cc-0", "cc 0")
 #: No notice is without one of these.
@@ -117,12 +128,16 @@ class Scanner:
             return []
         whole = len(self.bare.compress(" ".join(words).encode()))
         best: dict[str, tuple] = {}
-        have = frozenset(words)
+        have, identified = frozenset(words), self.identified(block)
         # relatives compress alike, and a block may hold many notices: each template that shortens it is looked at, and the exact differences decide
         for minus, k in self.ranked(words):
             name, template, needed = self.templates[k]
             if not needed <= have:
                 continue
+            if template[0] == "spdx":  # exact as a line, and words of other places must not complete it
+                if name in identified:
+                    best[name] = max(best.get(name, (0.0,)), (1.0, len(template), -minus / whole, [], (0, 0)))
+                continue
             if found := self.confirmed(template, needed, words):
                 share, missing, span = found
                 got = (share, len(template), -minus / whole, missing, span)
@@ -137,13 +152,22 @@ class Scanner:
         words = list(words)
         while True:
             share, missing, (first, last), run = self.difference(template, words)
-            if run < 3 and run < len(template):
+            if run < 2:
                 return None
             near = frozenset(words[first:last])
-            if share >= self.least and needed <= near and not (near - {*template}) & TELLING:
+            if (share >= self.least or self.filled(template, share, missing, near)) and needed <= near and not (near - {*template}) & TELLING:
                 return share, missing, (first, last)
             words[first:last] = [""] * (last - first)
 
+    @staticmethod
+    def filled(template: list[str], share: float, missing: list[str], near: frozenset[str]) -> bool:
+        """Whether a short template lacks only filler words, at most half of its words, and the place still speaks of licensing."""
+        return len(template) <= SHORT and share >= 0.5 and FILLER.issuperset(w for w in missing if w not in near) and ("cc" in near or any(w.startswith("licen") for w in near))
+
+    def identified(self, block: str) -> set[str]:
+        """The licenses named in the block's identifier lines."""
+        return {SPDX[x] for m in IDENTIFIERS.finditer(block) for x in re.split(r"[ \t()]+", m.group(1).lower()) for x in {x, x.rstrip(".")} if x in SPDX}
+
     def _inside(self, a: str, b: str) -> bool:
         """Whether a's name only says less than b's: BY in BY-NC, 3.0 in 3.0-or-later, BSD in BSD-3-Clause."""
         pa_, pb = (re.split(r"-(?=[A-Za-z])|-(?=[0-9])", x) for x in (a, b))

@@ -505,6 +505,19 @@ def test_many_notices_in_one_block():
     assert licenses_in("Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.") == {"CC-BY-4.0", "CC-BY-NC-4.0"}
 
 
+@pytest.mark.parametrize(("text", "names"), [
+    ("Distributed under the MIT License", {"MIT"}), ("Licensed under MIT License", {"MIT"}), ("Available under the terms of the MIT license.", {"MIT"}), ("Licensed under the Apache License 2.0", {"Apache-2.0"}),
+    ("Licensed under the Apache 2.0 license", {"Apache-2.0"}), ("Licensed under the GNU General Public License v3", {"GPL-3.0"}), ("Licensed under the GNU Lesser General Public License 2.1", {"LGPL-2.1"}),
+    ("Distributed under the BSD 3-Clause license", {"BSD-3-Clause"}), ("Shared under CC BY-SA 4.0", {"CC-BY-SA-4.0"}), ("This text is under CC BY 4.0 International", {"CC-BY-4.0"}),
+    ("SPDX-License-Identifier: MIT", {"MIT"}), ("// SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND MIT\nint a;", {"GPL-2.0", "BSD-3-Clause", "MIT"}), ("SPDX-License-Identifier: GPL-2.0+", {"GPL-2.0-or-later"}),
+    ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", {"Apache-2.0"}), ("SPDX-License-Identifier: Zlib\nnot MIT", set()),
+    ("she studied under the MIT professor who lost a driving licence", set()), ("a license to fish, under the sea", set()), ("Apache helicopters and a license, version 2.0", set()),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", set()), ("a license under which the two are the same work", set()),
+])
+def test_short_notices(text, names):
+    assert licenses_in(f"{prose(30, 1)}\n{text}\n{prose(30, 2)}") == names and licenses_in(text) == names
+
+
 def test_relatives_differ():
     of = lambda t: {x[0] for b in licenses.blocks_of(t) for x in licenses.scanner().scan(b)}
     assert of("This work is licensed under the GNU Lesser General Public License, version 3.") == {"LGPL-3.0"}
