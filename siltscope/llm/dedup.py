@@ -1,4 +1,4 @@
-"""Operator 2: removal of repeated byte strings, with suffix arrays built by external induced sorting.
+"""Operator 2: removal of repeated byte strings, with suffix arrays built by induced sorting.
 
 A byte goes if a string of `width` bytes that covers it starts anywhere else, in the same or another document. No suffix array over
 the whole corpus is needed: each start of a window of `width` bytes gets as its key the least hash of the `gram`-byte strings in
@@ -9,7 +9,7 @@ repeat. Neighbouring starts mostly share their key; such a run of starts, with t
 2. Keys that occur once go. Equal segments are made one with a count (partial aggregation first: a hot passage is a row from each
    task); if a key has only one distinct segment, every start in it is a repeat.
 3. The texts with other segments are fetched, one copy of each distinct text, and their segments dealt by key into shards of a
-   bounded size. A shard is sorted by induced sorting (suffixes.py, in files when it is larger than memory); suffixes whose common
+   bounded size (but for a single larger segment). A shard is sorted by induced sorting (suffixes.py), in memory; suffixes whose common
    prefix with a neighbour reaches `width` bytes are repeats.
 4. A key with very many distinct segments (a passage in very many different contexts) is not sorted in one task: its windows are
    counted by their 128-bit digests instead, with partial aggregation. This is exact up to such a digest's collisions.

@@ -1,4 +1,4 @@
-"""Suffix and common-prefix arrays by induced sorting in external memory.
+"""Suffix and common-prefix arrays by induced sorting, some of it in files.
 
 sort_suffixes(text) works as induced sorting does. A suffix is small (S) or large (L) by whether it is below or above the one
 after it; the S suffixes with an L before them are seeds. Seeds' substrings, each up to the next seed, are sorted by inducing
@@ -10,8 +10,8 @@ the next seed and a range minimum over the seeds between.
 
 The queue takes a symbol as priority. As a symbol's number of suffixes is known beforehand, its entries are a reserved run of one
 array, appended to in order, so that taking the least is reading on. Symbols are taken in batches: as many in a row as hand in
-nothing among themselves. All arrays whose size is that of the text are kept in files (memory-mapped, and so paged by the system)
-once they pass `in_memory` bytes; passes read and write them in runs.
+nothing among themselves. Arrays made by a Store are kept in files (memory-mapped, and so paged by the system) once they pass
+`in_memory` bytes; passes read and write them in runs. The text itself, packed words, minima and flags are always in memory.
 """
 
 from __future__ import annotations
