@@ -49,3 +49,15 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id as long, and text with null as the empty string; all other columns are dropped."""
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names for columns of an operator's own, with as many underscores ahead as keep them apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
