@@ -1,18 +1,19 @@
 """Operator 4: personal data becomes format-preserving Feistel pseudonyms.
 
-A find is a span that a pattern proposes and a check confirms (Luhn for cards, ranges for addresses, the calendar for dates, ...).
-Its letters and digits are permuted within its format by a keyed, balanced-as-can-be Feistel network over the numbers of that
-format; where the format has a check of its own (a card's last digit, an account's control digits, a day of the calendar) only
+A find is a span that a pattern proposes and a check confirms (Luhn for cards, numbering plans for phones, the calendar for dates, ...).
+Its letters and digits are permuted within its format by a keyed Feistel network: one half of the places is shifted, each within
+its own alphabet, by a key stream drawn from the other half, in turn; dates and addresses are permuted as numbers. Where the format has a check of its own (a card's last digit, an account's control digits, a day of the calendar) only
 what is free is permuted and the check is set anew, or the network is walked until the value is valid again. The same value under
 the same key always has the same pseudonym, in any document, so linkage stays; the permutation can be undone with the key.
 
 Kinds: e-mail addresses (local part; the host is kept), phone numbers (country code kept), payment cards (issuer digit kept), US
 social security numbers, bank accounts (IBAN; country kept), IPv4 and MAC addresses, dates (ISO and d/m/y orders; among the days
-of 1900 to 2099), and secrets (long hexadecimal or base-62 strings after a name such as token or key, and known key prefixes).
+of 1900 to 2099), and secrets (hexadecimal or base-62 strings of any length after a name such as token or key, and known key prefixes).
 
 Defined cases: null text stays null and has no finds; empty text stays empty; equal rows are treated alike; doc_id may be null;
 overlapping finds go to the earlier, then the longer; an empty table gives no rows; all columns of the input are kept as they
-are, but for text. Texts of any length are searched whole.
+are, but for text, and if one has the name asked for the spans, the spans get underscores ahead of it. Texts of any length are
+searched whole, and finds of any length are taken whole, in time that is linear in their length.
 """
 
 from __future__ import annotations
@@ -26,24 +27,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siltscope.llm.common import documents, slices
+from siltscope.llm.common import documents, free_names, slices
 from siltscope.llm.tokens import Memo
 from siltscope.session import ship
 
+HEX = frozenset("0123456789abcdef")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
 
 class Feistel:
-    """A keyed permutation of 0 .. size - 1: an unbalanced two-part network on a domain just above size, walked into range."""
+    """Keyed permutations. permute: of the numbers 0 .. size - 1 (size up to 2 ** 64), by a two-part network on a domain just above
+    size, walked into range. letters: of strings over given alphabets."""
 
     def __init__(self, key: bytes, rounds: int = 10):
         self.key, self.rounds = key, rounds
 
+    def stream(self, k: int, tweak: bytes, other: bytes, n: int) -> list[int]:
+        """n numbers of 64 bits that depend on the key, the round, the tweak and the other half."""
+        seed = hashlib.blake2b(b"%d|%d|" % (k, len(tweak)) + tweak + other, key=self.key, digest_size=32).digest()
+        bits = hashlib.shake_256(seed).digest(8 * n)
+        return [int.from_bytes(bits[i : i + 8], "little") for i in range(0, 8 * n, 8)]
+
     def _round(self, k: int, tweak: bytes, value: int, below: int) -> int:
-        data = b"%d|%d|%d|" % (k, below, value) + tweak
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=16 + below.bit_length() // 8).digest()) % below
+        """For numbers below 2 ** 64."""
+        return self.stream(k, tweak, b"%d|%d" % (below, value), 1)[0] % below
+
+    def letters(self, x: list[int], sizes: list[int], tweak: str, back: bool = False) -> list[int]:
+        """A permutation of the strings x whose i-th symbol is below sizes[i]; at least two symbols. Any length, linear time."""
+        h, t, x = len(x) // 2, tweak.encode(), list(x)
+        for k in reversed(range(self.rounds)) if back else range(self.rounds):
+            (lo, hi), other = ((0, h), x[h:]) if k % 2 else ((h, len(x)), x[:h])
+            key = self.stream(k, t, bytes(other), hi - lo)
+            for i, r in zip(range(lo, hi), key):
+                x[i] = (x[i] + (-r if back else r)) % sizes[i]
+        return x
 
     def _pass(self, x: int, a: int, b: int, tweak: bytes, back: bool) -> int:
         left, right = divmod(x, b)
@@ -58,7 +77,7 @@ class Feistel:
     def permute(self, x: int, size: int, tweak: str, back: bool = False) -> int:
         if size < 2:
             return x
-        a = max(2, int(size**0.5) if size < 1 << 100 else 1 << (size.bit_length() // 2))
+        a = max(2, int(size**0.5))
         b = -(-size // a)
         while True:  # a * b is less than size + a: a few steps at most on average
             x = self._pass(x, a, b, tweak.encode(), back)
@@ -86,14 +105,11 @@ class Pseudonyms:
         """Permute the letters and digits of s, each within its own class, at the places where free(i) holds."""
         at = [i for i in range(len(s)) if (free is None or free(i)) and (s[i] in DIGITS or s[i] in LOWER or s[i] in UPPER)]
         sets = [next(a for a in (DIGITS, LOWER, UPPER) if s[i] in a) for i in at]
-        x, size = 0, 1
-        for i, a in zip(at, sets):
-            x, size = x * len(a) + a.index(s[i]), size * len(a)
-        shape = "".join(a[0] for a in sets)
-        x, out = self.f.permute(x, size, f"{tweak}|{shape}"), list(s)
-        for i, a in zip(reversed(at), reversed(sets)):
-            x, r = divmod(x, len(a))
-            out[i] = a[r]
+        x, tweak, out = [a.index(s[i]) for i, a in zip(at, sets)], f"{tweak}|{''.join(a[0] for a in sets)}", list(s)
+        sizes = [len(a) for a in sets]
+        new = self.f.letters(x, sizes, tweak) if len(x) > 1 else [self.f.permute(v, n, tweak) for v, n in zip(x, sizes)]
+        for i, a, v in zip(at, sets, new):
+            out[i] = a[v]
         return "".join(out)
 
     def digits(self, s: str, tweak: str, keep: int = 0, keep_end: int = 0) -> str:
@@ -146,8 +162,9 @@ class Pseudonyms:
         return write(datetime.date.fromordinal(FIRST_DAY + day))
 
     def secret(self, s: str) -> str:
-        if re.fullmatch(r"[0-9a-f]+", s):
-            return f"{self.f.permute(int(s, 16), 16 ** len(s), f'hex|{len(s)}'):0{len(s)}x}"
+        if HEX.issuperset(s):
+            new = self.f.letters([int(c, 16) for c in s], [16] * len(s), f"hex|{len(s)}")
+            return "".join(["0123456789abcdef"[v] for v in new])
         return self.shaped(s, "secret", lambda i: i >= (4 if PREFIXED.match(s) else 0))
 
 
@@ -181,9 +198,23 @@ def is_card(s: str) -> bool:
     return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d) == 0
 
 
+def country_code(d: str) -> int:
+    """How many digits of an international number are its country's code, 0 if there is no such code."""
+    if d[0] in "17":
+        return 1
+    if d[:2] in TWO_DIGIT_CODES:
+        return 2
+    return 3 if d[:2] in THREE_DIGIT_CODES else 0
+
+
 def is_phone(s: str) -> bool:
+    """International numbers: an assigned country code and 7 to 15 digits in all; in country 1, ten digits after it, of any area (reserved ones
+    too). Others: ten digits of the North American plan."""
     d = re.sub(r"\D", "", s)
-    return 7 <= len(d) <= 15 and (s[0] in "+(" or len(d) == 10)
+    if s[0] == "+":
+        n = country_code(d) if d else 0
+        return bool(n) and 7 <= len(d) <= 15 and len(d) - n >= 4 and (d[0] != "1" or len(d) == 11)
+    return len(d) == 10 and d[0] > "1" and d[3] > "1"
 
 
 def is_ssn(s: str) -> bool:
@@ -200,6 +231,9 @@ def is_ip(s: str) -> bool:
     return all(int(p) < 256 and (p == "0" or p[0] != "0") for p in s.split("."))
 
 
+#: International codes of two digits, and how those of three digits begin.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+THREE_DIGIT_CODES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 #: The length of an account number in each country of the registry.
 IBAN_LENGTH = {c: n for n, names in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -219,15 +253,20 @@ def card_ends(s: str) -> list[int]:
     return [len(s), *[i for i in range(len(s) - 1, 0, -1) if s[i] in " -"]]
 
 
+def phone_ends(s: str) -> list[int]:
+    """As card_ends, for the separators of phone numbers."""
+    return [len(s), *[i for i in range(len(s) - 1, 0, -1) if s[i] in " .-"]]
+
+
 #: Where a find of a kind may end within its match, in the order of trial; other kinds end where the match does.
-ENDS: dict[str, Callable[[str], list[int]]] = {"iban": iban_ends, "card": card_ends}
+ENDS: dict[str, Callable[[str], list[int]]] = {"iban": iban_ends, "card": card_ends, "phone": phone_ends}
 #: Prefixes of well-known key formats.
 PREFIXED = re.compile(r"AKIA|ASIA|gh[opsur]_|sk-|sk_|xox[abp]-|AIza")
 #: kind, pattern, check; the order decides between finds at the same place. A group, if there is one, is the part to replace.
 RULES: list[tuple[str, str, Callable[[str], bool] | None]] = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", None),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[opsur]_|sk-|sk_|xox[abp]-|AIza)[A-Za-z0-9_-]{16,200}", None),
-    ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{8,200})", lambda s: any(c in DIGITS for c in s)),
+    ("email", r"(?<![A-Za-z0-9._%+-])[._%+-]*+([A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9])", None),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[opsur]_|sk-|sk_|xox[abp]-|AIza)[A-Za-z0-9_-]{16,}+", None),
+    ("secret", r"(?i:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_-]{8,}+)", lambda s: any(c in DIGITS for c in s)),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", is_iban),
     ("mac", r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:([:-]))[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Fa-f:-])", None),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9/-])(?!\.[0-9])", lambda s: date_of(s) is not None),
@@ -237,7 +276,7 @@ RULES: list[tuple[str, str, Callable[[str], bool] | None]] = [
     ("phone", r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])", is_phone),
 ]
 KINDS = list(dict.fromkeys(k for k, _, _ in RULES))
-_compiled = [(k, re.compile(p), ok, k == "secret") for k, p, ok in RULES]
+_compiled = [(k, re.compile(p), ok, k in ("secret", "email")) for k, p, ok in RULES]
 #: No find is without a digit or an at sign.
 _some = re.compile(r"[0-9@]")
 
@@ -294,6 +333,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def mask(docs: DataFrame, key: bytes, spans: str = "pii_spans") -> DataFrame:
     """docs with pseudonyms in its column text, and a column of the spans that were replaced (null text: no spans)."""
     ship(docs.sparkSession)
+    (spans,) = free_names(docs, spans)
     names = [f.name for f in docs.schema]
     at = names.index("text")
 
