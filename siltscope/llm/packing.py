@@ -1,16 +1,20 @@
 """Operator 8: packing of documents into sequences by bounded-space online best-fit.
 
 Documents become pieces of at most `capacity` tokens; only longer ones are cut, and then all pieces but the first are full. A full
-piece is a sequence. The others go to a stream of bins: a fixed number of bins is open, a bitset has a bit for each amount of free
-space that some open bin has, and the smallest set bit not below the piece's length names the best fit. If no open bin fits and
-all are in use, the fullest closes. Each task packs its own stream. What is still open at a task's end is not wasted: such bins
-become items of their own (their fill is the length), and are packed again, the bins of `fan_in` tasks in one, until one task's
-bins are left; each round sees at most open_bins rows from each task of the one before.
+piece is a sequence of its own and touches no open bin. The others go to a stream of bins: a fixed number of bins is open, a bitset has
+a bit for each amount of free space that some open bin has, and the smallest set bit not below the piece's length names the best fit. If
+no open bin fits and all are in use, the fullest closes. Each task packs its own stream.
 
-Sequence ids are (task << 32 | counter) of the round in which a bin closed, so no global numbering is needed.
+What is still open at a task's end is not wasted: those bins (open_bins at most from each task) become items of a next round (their
+fill is the length), in which the bins of `fan_in` tasks meet in one. A bin that closes there is done; only those still open go on, again a
+bounded number from each task. So no task of any round sees more than fan_in times as many items as bins are open. Rounds end with one
+task, or when one joins few of its items.
+
+Sequence ids are (round, task, counter), so no global numbering is needed.
 
 Defined cases: null and empty texts are a document of the end id alone; repeated rows are packed each for itself; doc_id may be
-null; an empty table gives no rows; other columns are ignored; ties between equal free space go to the bin filled last.
+null; an empty table gives no rows; other columns of pieces are kept, under any name but sequence_id and offset, which are
+replaced; ties between equal free space go to the bin filled last; a text of any length is cut into any number of pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import documents, id_and_text
+from siltscope.llm.common import documents, free_names, id_and_text
 from siltscope.llm.tokens import encoder
 from siltscope.session import cut, ship
 
@@ -47,6 +51,9 @@ class Bins:
         return key
 
     def put(self, length: int) -> tuple[int, int, int | None]:
+        if length == self.capacity:
+            self.next += 1
+            return self.next - 1, 0, self.next - 1
         fits, closed = self.free >> length << length, None
         if fits:
             free = (fits & -fits).bit_length() - 1
@@ -99,7 +106,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 512, fan_in:
     The rows must not change from one reading to the next, as those of a table do; pack() numbers them within their partitions.
     """
     ship(pieces.sparkSession)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema]
+    pieces = pieces.drop("sequence_id", "offset")
+    fields, (bin_, at) = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema], free_names(pieces, "bin", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,45 +115,48 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 512, fan_in:
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 32
         for b in batches:
             got = [bins.put(n) for n in b.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base | k for k, _, _ in got], pa.int64()), pa.array([o for _, o, _ in got], pa.int64())], names=[*b.schema.names, "bin", "at"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base | k for k, _, _ in got], pa.int64()), pa.array([o for _, o, _ in got], pa.int64())], names=[*b.schema.names, bin_, at])
         left = bins.rest()  # marks of the open bins follow, as rows with only length, bin and at < 0
         n = len(left)
         if n:
             columns = {f.name: pa.nulls(n, f.type) for f in b.schema} | {"length": pa.array([f for _, f in left], b.schema.field("length").type)}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array([base | k for k, _ in left], pa.int64()), pa.array([-1] * n, pa.int64())], names=[*columns, "bin", "at"])
-
-    placed = cut(pieces.mapInArrow(run, ", ".join([*fields, "bin long", "at long"])), "packed")
-    items = placed.where("at < 0").select(F.col("bin").alias("leaf"), F.lit(0).cast("long").alias("shift"), F.col("bin").alias("item"), "length")
-    moved = _merge(items, capacity, open_bins, fan_in)
-    out = placed.where("at >= 0").join(moved, F.col("bin") == F.col("leaf"), "left")
-    return out.select(*[f"`{f.name}`" for f in pieces.schema], F.coalesce("root", F.col("bin") * 2).alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset"))
-
-
-def _merge(leaves: DataFrame, capacity: int, open_bins: int, fan_in: int) -> DataFrame:
-    """leaf -> (root, shift): the bin in which an open bin ended, and where in it. Tasks meet fan_in at a time."""
-    spark = leaves.sparkSession
-    where = cut(leaves.select("leaf", F.col("item").alias("root"), "shift"), "bins")
-    items = leaves.select("item", "length")
-    tasks = items.select((F.shiftright("item", 32)).alias("t")).distinct().count()
-    level = 1
-    items = cut(items, "items")
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array([base | k for k, _ in left], pa.int64()), pa.array([-1] * n, pa.int64())], names=[*columns, bin_, at])
+
+    placed = cut(pieces.mapInArrow(run, ", ".join([*fields, f"`{bin_}` long", f"`{at}` long"])), "packed")
+    leaf, root, shift = free_names(placed, "leaf", "root", "shift")
+    moved = merge_open(placed.where(F.col(at) < 0).select(F.col(bin_).alias("item"), F.col("length").cast("long").alias("length")), capacity, open_bins, fan_in)
+    moved = moved.select(F.col("leaf").alias(leaf), F.col("root").alias(root), F.col("shift").alias(shift))
+    out = placed.where(F.col(at) >= 0).join(moved, F.col(bin_) == F.col(leaf), "left")
+    return out.select(*[F.col(f"`{f.name}`") for f in pieces.schema], F.coalesce(root, F.col(bin_) * 2).alias("sequence_id"), (F.col(at) + F.coalesce(shift, F.lit(0))).cast("long").alias("offset"))
+
+
+def merge_open(items: DataFrame, capacity: int, open_bins: int, fan_in: int, least_gain: float = 1 / 64) -> DataFrame:
+    """leaf -> (root, shift): the bin in which an open bin (item, length) ended, and where in it."""
+    items = cut(items.select("item", "length"), "open")
+    where = cut(items.select(F.col("item").alias("leaf"), F.col("item").alias("root"), F.lit(0).cast("long").alias("shift")), "bins")
+    tasks, level = items.select(F.shiftright("item", 32).alias("t")).distinct().count(), 1
     while tasks > 1:
-        groups = -(-tasks // fan_in)
+        groups, round_ = -(-tasks // fan_in), level << 56
 
-        def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-            bins, base = Bins(capacity, open_bins * 4), (level << 56) | (key[0].as_py() << 32)
-            order = batch.sort_by([("length", "descending"), ("item", "ascending")])
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            """A row for each item: the bin it went to. kept: the bin is still open, and has this fill; one row of a bin says so."""
+            bins, base = Bins(capacity, open_bins), round_ | (key[0].as_py() << 32)
+            order = table.sort_by([("length", "descending"), ("item", "ascending")])
             got = [bins.put(n) for n in order.column("length").to_pylist()]
-            fill: dict[int, int] = {}
-            for (k, _, _), n in zip(got, order.column("length").to_pylist()):
-                fill[k] = fill.get(k, 0) + n
-            return pa.table({"item": order.column("item"), "to": pa.array([base | k for k, _, _ in got], pa.int64()), "at": pa.array([o for _, o, _ in got], pa.int64()), "fill": pa.array([fill[k] for k, _, _ in got], pa.int64())})
-
-        group = F.pmod(F.shiftright("item", 32).bitwiseAND(0xFFFFFF), F.lit(groups))  # the task that made the bin
-        step = cut(items.withColumn("g", group.cast("long")).groupBy("g").applyInArrow(run, "item long, to long, at long, fill long"), "merged")
-        where = cut(where.join(step.select(F.col("item").alias("root"), "to", "at"), "root", "left").select("leaf", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("at", F.lit(0))).alias("shift")), "bins")
-        items = cut(step.groupBy(F.col("to").alias("item")).agg(F.max("fill").alias("length")), "items")
+            left, kept = dict(bins.rest()), []
+            for k, _, _ in got:
+                kept.append(left.pop(k, None))
+            return pa.table({"item": order.column("item"), "to": pa.array([base | k for k, _, _ in got], pa.int64()), "at": pa.array([o for _, o, _ in got], pa.int64()), "kept": pa.array(kept, pa.int64())})
+
+        group = F.pmod(F.shiftright("item", 32).bitwiseAND(0xFFFFFF), F.lit(groups))  # by the task that made the bin
+        step = cut(items.withColumn("g", group.cast("long")).groupBy("g").applyInArrow(run, "item long, to long, at long, kept long"), "merged")
+        moves = step.select(F.col("item").alias("root"), "to", "at")
+        where = cut(where.join(moves, "root", "left").select("leaf", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("at", F.lit(0))).alias("shift")), "bins")
+        n, bins = step.agg(F.count(F.lit(1)), F.sum((F.col("at") == 0).cast("long"))).first()
+        items = step.where("kept is not null").select(F.col("to").alias("item"), F.col("kept").alias("length"))
         tasks, level = groups, level + 1
+        if n - bins < least_gain * n:
+            break
     return where.withColumn("root", F.col("root") * 2 + 1)
 
 
