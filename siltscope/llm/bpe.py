@@ -1,15 +1,17 @@
 """Operator 10: byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is split into pre-tokens by itself (long texts: as rows of their own, in
-parallel tasks); a chunk's first boundaries may be wrong, as it may begin inside a pre-token, and its last one may be, as the
-chunk ends there. Matching goes left to right and has no memory, so once two neighbours share a boundary in their overlap, all
-later ones agree. Stitching takes the left chunk's boundaries up to the first shared one and the right chunk's from there. Only
-where an overlap has none (a run as long as the overlap) is the text split anew from the last certain boundary. Then the pieces
-are encoded: merges by rank, lowest first and leftmost among equals, with a bounded memo of pieces. Decoding concatenates the
-tokens' bytes.
+A text is cut into chunks that overlap. Long texts are cut in one pass, and their chunks are dealt out by an exchange before any is split:
+each is a row of its own, split into pre-tokens and encoded by itself, in a task of its own. A chunk's first boundaries may be
+wrong, as it may begin inside a pre-token, and its last one may be, as the chunk ends there. Matching goes left to right and has no
+memory, so once two neighbours share a boundary in their overlap, all later ones agree. Stitching joins ids, not texts: it takes
+the left chunk's ids up to the first shared boundary and the right chunk's from there. Only where an overlap has none (a run as long as
+the overlap) is the text split and encoded anew from the last certain boundary, over twice as many chunks each time that fails.
+Pieces are encoded by merges by rank, lowest first and leftmost among equals, with a bounded memo of pieces. Decoding concatenates
+the tokens' bytes.
 
 Defined cases: null and empty texts have no ids and empty digests; equal and null doc_ids stay separate rows; texts of any length
-are whole; an empty table gives no rows; other columns are ignored. Ids are as those of the rank file, without special tokens.
+are whole; an empty table gives no rows; other columns are ignored, whatever their names. Ids are as those of the rank file, without
+special tokens.
 """
 
 from __future__ import annotations
@@ -71,27 +73,37 @@ def latin_pattern() -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
-def stitch(text: str, parts: list[tuple[int, int, list[int]]], split) -> list[int]:
-    """Ends of the pre-tokens of text. parts: (start, end, ends of pre-tokens found there) of overlapping chunks, in order."""
-    ends, sure = [], 0  # sure: a true boundary up to which `ends` is final
-    for k, (start, stop, found) in enumerate(parts):
-        if k == 0:
-            own = found
-        else:
-            shared = {start, *found} & left
-            if shared:
-                sure = min(shared)
-                while ends and ends[-1] > sure:
-                    ends.pop()
-                own = [e for e in found if e > sure]
-            else:  # no boundary in common: go on from the last certain one to this chunk's end
-                own = [base + e for base in [ends[-1] if ends else 0] for e in split(text[base:stop])]
-        if stop < len(text):
-            while own and own[-1] >= stop:  # may go on beyond the chunk
-                own.pop()
-        ends += own
-        left = {e for e in ends[-(stop - start) :]} | {0}
-    return ends
+class Part:
+    """A chunk's pre-tokens: where each ends in the text, how many ids there are up to it, and the ids."""
+
+    def __init__(self, start: int, stop: int, ends: np.ndarray, counts: np.ndarray, ids: bytes):
+        self.start, self.stop, self.ends, self.counts, self.ids = start, stop, ends, counts, ids
+
+    def ids_between(self, a: int, b: int) -> bytes:
+        """Ids of the pre-tokens between two of its boundaries."""
+        at = lambda x: 0 if x == self.start else int(self.counts[np.searchsorted(self.ends, x)])
+        return self.ids[4 * at(a) : 4 * at(b)]
+
+
+def stitch(parts: list[Part], n: int, text_of, encode) -> Iterator[bytes]:
+    """Ids of a text of n characters from its chunks, in order. text_of(i, j, base): the text of chunks i .. j from base on;
+    encode(text, base) gives the Part of a text that begins at a boundary."""
+    now, sure, k = parts[0], 0, 1  # ids up to the boundary `sure` are given; from there, those of `now` are right but for its last pre-token
+    home, failed = 0, 0  # home: the chunk that holds `sure`
+    while k < len(parts):
+        right = parts[k]
+        mine = now.ends[(now.ends > sure) & (now.ends < now.stop) & (now.ends >= right.start)]
+        shared = np.intersect1d(mine, np.append(right.start, right.ends), assume_unique=False)
+        if sure >= right.start and (sure == right.start or sure in right.ends):
+            shared = np.array([sure])
+        if len(shared):
+            at = int(shared[0])
+            yield now.ids_between(sure, at)
+            now, sure, home, failed, k = right, at, k, 0, k + 1
+            continue
+        last = min(len(parts) - 1, k + (1 << failed) - 1)
+        now, failed, k = encode(text_of(home, last, sure), sure), failed + 1, last + 1
+    yield now.ids_between(sure, n)
 
 
 class Codec:
@@ -112,25 +124,21 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.latin.findall(text) if self.latin and not self.beyond.search(text) else self.full.findall(text)
 
-    def split(self, text: str) -> list[int]:
-        """Ends of the pre-tokens of one chunk."""
-        return np.cumsum([len(x) for x in self.pieces(text)]).tolist()
-
     def chunks(self, n: int) -> list[tuple[int, int]]:
         return [(s, min(n, s + self.chunk + self.overlap)) for s in range(0, max(1, n), self.chunk)]
 
-    def encode_pieces(self, pieces: list[str]) -> bytes:
-        return b"".join([self.ids[x] for x in pieces])
+    def part(self, text: str, start: int) -> Part:
+        """A chunk that begins at `start`, split and encoded."""
+        pieces = self.pieces(text)
+        got = [self.ids[x] for x in pieces]
+        return Part(start, start + len(text), start + np.cumsum([len(x) for x in pieces], dtype=np.int64), np.cumsum([len(x) >> 2 for x in got], dtype=np.int64), b"".join(got))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(text) <= self.chunk:
-            return self.encode_pieces(self.pieces(text))
-        parts = [(s, e, [s + x for x in self.split(text[s:e])]) for s, e in self.chunks(len(text))]
-        return self.encode_ends(text, stitch(text, parts, self.split))
-
-    def encode_ends(self, text: str, ends: list[int]) -> bytes:
-        return self.encode_pieces([text[s:e] for s, e in zip([0, *ends], ends)])
+            return b"".join([self.ids[x] for x in self.pieces(text)])
+        cuts = self.chunks(len(text))
+        return b"".join(stitch([self.part(text[s:e], s) for s, e in cuts], len(text), lambda i, j, base: text[base : cuts[j][1]], self.part))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -163,7 +171,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def _encode(docs: DataFrame, ranks: str, pattern: str, long_chars: int, fields: str, of, kinds: list) -> DataFrame:
-    """A scan encodes the texts of one chunk. Longer ones take a second scan: their chunks are dealt out, split, and stitched."""
+    """A scan encodes the texts of one chunk. Longer ones take a second scan: their chunks are dealt out, split and encoded, and their ids stitched."""
     ship(docs.sparkSession)
     texts, names = id_and_text(docs), [x.split()[0] for x in fields.split(", ")]
 
@@ -175,24 +183,37 @@ def _encode(docs: DataFrame, ranks: str, pattern: str, long_chars: int, fields:
         for b in batches:
             yield batch(b.column("doc_id"), [of(c, c.encode(x.as_py())) for x in b.column("text")])
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks, pattern)
+        for b in batches:
+            for uid, who, text in zip(b.column("uid"), b.column("doc_id"), b.column("text")):
+                text = text.as_py()
+                cuts = c.chunks(len(text))
+                for i in range(0, len(cuts), 64):
+                    few = cuts[i : i + 64]
+                    yield pa.RecordBatch.from_pydict({"uid": pa.array([uid.as_py()] * len(few), pa.int64()), "doc_id": pa.array([who.as_py()] * len(few), pa.int64()), "k": pa.array(range(i, i + len(few)), pa.int32()), "part": pa.array([text[s:e] for s, e in few])})
+
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for b in batches:
-            ends = [np.array(c.split(x.as_py()), "<i4").tobytes() for x in b.column("part")]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("k"), b.column("part"), pa.array(ends, pa.binary())], names=["uid", "doc_id", "k", "part", "ends"])
+            got = [c.part(x.as_py(), 0) for x in b.column("part")]
+            cols = [pa.array([f(x) for x in got], pa.binary()) for f in (lambda x: x.ends.astype("<i4").tobytes(), lambda x: x.counts.astype("<i4").tobytes(), lambda x: x.ids)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("uid", "doc_id", "k", "part")), *cols], names=["uid", "doc_id", "k", "part", "ends", "counts", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         c, rows = codec(ranks, pattern), table.sort_by("k").to_pylist()
-        text = "".join(r["part"][: c.chunk] for r in rows[:-1]) + rows[-1]["part"]
-        parts = [(s, s + len(r["part"]), (np.frombuffer(r["ends"], "<i4") + s).tolist()) for r in rows for s in [r["k"] * c.chunk]]
-        return pa.Table.from_batches([batch([rows[0]["doc_id"]], [of(c, c.encode_ends(text, stitch(text, parts, c.split)))])])
+        ints = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
+        parts = [Part(s, s + len(r["part"]), s + ints(r["ends"]), ints(r["counts"]), r["ids"]) for r in rows for s in [r["k"] * c.chunk]]
+
+        def text_of(i: int, j: int, base: int) -> str:
+            return "".join([*(r["part"][: c.chunk] for r in rows[i:j]), rows[j]["part"]])[base - i * c.chunk :]
+
+        return pa.Table.from_batches([batch([rows[0]["doc_id"]], [of(c, b"".join(stitch(parts, parts[-1].stop, text_of, c.part)))])])
 
-    size, overlap = 1 << 15, 1 << 9
     short = texts.where(F.length("text") <= long_chars).mapInArrow(whole, f"doc_id long, {fields}")
-    long = texts.where(F.length("text") > long_chars).withColumn("uid", F.monotonically_increasing_id())
-    ks = F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / size).cast("int"))).alias("k")
-    dealt = long.select("uid", "doc_id", "text", ks).select("uid", "doc_id", "k", F.substring("text", F.col("k") * size + 1, F.lit(size + overlap)).alias("part"))
-    stitched = dealt.mapInArrow(chunked, "uid long, doc_id long, k int, part string, ends binary").groupBy("uid").applyInArrow(joined, f"doc_id long, {fields}")
+    long = texts.where(F.length("text") > long_chars).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    dealt = long.mapInArrow(cut_up, "uid long, doc_id long, k int, part string").repartition("uid", "k")
+    stitched = dealt.mapInArrow(chunked, "uid long, doc_id long, k int, part string, ends binary, counts binary, ids binary").groupBy("uid").applyInArrow(joined, f"doc_id long, {fields}")
     return short.unionByName(stitched)
 
 
