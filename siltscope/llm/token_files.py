@@ -1,15 +1,17 @@
 """Operator 3: flat token-id files with 64-bit document offsets, written for memory mapping.
 
 Documents are range-partitioned by id, so that part k's ids all come before part k+1's. Each task encodes its documents into one
-flat file of unsigned ids and one of 64-bit offsets; the driver sees one row for each part (its number of tokens and
-documents) and sets the parts' bases by prefix sums. Reading maps the files and touches only the spans asked for.
+flat file of unsigned ids and one of 64-bit offsets, and returns one row, its number of tokens and documents. The parts' bases are prefix
+sums over those rows, computed as a table: within groups of neighbouring parts, then over the groups' sums in the same way, until
+one group is left. The driver sees no rows. Reading maps the files and touches only the spans asked for.
 
 Part p is four files in the shared folder: p.ids (uint16 where the vocabulary fits, else uint32), p.off (uint64, documents + 1, counted from the part's start), p.doc
 (int64 document ids) and p.nul (uint8, 1 where the document id was null). A task writes under a name of its own attempt and
-renames at the end, so repeated and speculative attempts leave one whole set. All numbers are little-endian.
+renames at the end, so repeated and speculative attempts leave one whole set; the rows of the parts are written as a table, so that
+reading does not write the files again. All numbers are little-endian.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id sorts first and comes back as null; equal doc_ids stay
-separate documents, in order of their text; an empty table gives no files and no rows; other columns are ignored. A document of
+separate documents, in no set order; an empty table gives no files and no rows; other columns are ignored, whatever their names. A document of
 any length is one span: offsets are 64-bit.
 """
 
@@ -22,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltscope.llm.common import documents, id_and_text
 from siltscope.llm.tokens import encoder
-from siltscope.session import ship, work_dir
+from siltscope.session import cut, ship, work_dir
 
 PARTS = "part int, n_docs long, n_tokens long"
 
@@ -78,12 +80,27 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
                 os.remove(name)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part] * bool(n), pa.int32()), "n_docs": pa.array([n] * bool(n), pa.int64()), "n_tokens": pa.array([total] * bool(n), pa.int64())})
 
-    got = sorted(tuple(r) for r in ordered.mapInArrow(run, PARTS).collect())  # one row for each part, of some thousand documents
-    out, base_doc, base_token = [], 0, 0
-    for part, n_docs, n_tokens in got:
-        out.append((part, base_doc, base_token, n_docs, n_tokens, width))
-        base_doc, base_token = base_doc + n_docs, base_token + n_tokens
-    return spark.createDataFrame(out, "part int, base_doc long, base_token long, n_docs long, n_tokens long, width int")
+    bases = prefix_sums(cut(ordered.mapInArrow(run, PARTS), "parts"), "part", parts, ["n_docs", "n_tokens"])
+    out = bases.select("part", F.col("sum_n_docs").alias("base_doc"), F.col("sum_n_tokens").alias("base_token"), "n_docs", "n_tokens", F.lit(width).alias("width"))
+    return cut(out, "parts")
+
+
+def prefix_sums(df: DataFrame, key: str, below: int, columns: list[str], fan: int = 4096) -> DataFrame:
+    """df with a column sum_<c> for each of the columns: their sums over all rows with a smaller key. key: 0 .. below - 1, each at most once.
+
+    No task sees more than `fan` rows: sums run within groups of `fan` keys, and over the groups' sums by the same function.
+    """
+    own = [F.col(c) for c in columns]
+    if below <= fan:
+        order = Window.partitionBy(F.lit(0)).orderBy(key)
+        return df.select("*", *[(F.sum(c).over(order) - c).cast("long").alias(f"sum_{n}") for c, n in zip(own, columns)])
+    group = f"{key}_group"
+    order = Window.partitionBy(group).orderBy(key)
+    x = df.withColumn(group, F.floor(F.col(key) / fan).cast("long"))
+    totals = cut(x.groupBy(group).agg(*[F.sum(c).alias(n) for c, n in zip(own, columns)]), "totals")
+    ahead = prefix_sums(totals, group, -(-below // fan), columns, fan).select(group, *[F.col(f"sum_{n}").alias(f"__{n}") for n in columns])
+    inner = x.select("*", *[(F.sum(c).over(order) - c).alias(f"__own_{n}") for c, n in zip(own, columns)])
+    return inner.join(ahead, group).select(*df.columns, *[(F.col(f"__own_{n}") + F.col(f"__{n}")).cast("long").alias(f"sum_{n}") for n in columns])
 
 
 def open_part(folder: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,8 +136,7 @@ def _each(parts: DataFrame, path: str, field: str, of, kind, chunk: int) -> Data
                         name: pa.array([of(ids[s:e].astype("<u4")) for s, e in zip(off[i:j], off[i + 1 : j + 1])], kind),
                     })
 
-    spread = max(1, parts.count())
-    return parts.repartition(spread, "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
+    return parts.repartition(max(1, parts.count()), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
