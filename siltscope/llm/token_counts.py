@@ -5,10 +5,11 @@ library's version. Normalising may not change a count, so it is only null -> emp
 those bytes. Steps: (1) one scan gives each document's digest and byte length; (2) digests are made distinct (partial
 aggregation first, so a hot text is one row from each task) and anti-joined with the cache; (3) a second scan sends only texts
 of missing digests, each at most once from a task and compressed, to their digest's partition, where the first of each is
-encoded; (4) the new counts are appended; (5) documents are joined with the cache by digest. The digests' join carries no text.
+encoded; (4) the new counts are appended; (5) documents are joined with their counts by digest. That join carries no text, and both its
+sides are plain tables, so that adaptive execution can split the partition of a text with very many copies.
 
 Defined cases: null and empty texts count 0; equal texts are encoded once and counted alike; repeated and null doc_ids are kept;
-an empty table gives no rows and appends nothing; other columns are ignored.
+an empty table gives no rows and appends nothing; other columns are ignored, whatever their names; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from siltscope.llm.common import documents, id_and_text
 from siltscope.llm.tokens import encoder
-from siltscope.session import ship, work_dir
+from siltscope.session import cut, ship, work_dir
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
@@ -83,7 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     missing = with_digest.join(known, "digest", "left_anti") if _any(stored) else with_digest
     new = missing.mapInArrow(send, "digest binary, packed binary").repartition("digest").sortWithinPartitions("digest").mapInArrow(encode, "digest binary, n_tokens long")
     new.write.mode("append").parquet(f"{cache}/tokenizer={version}")
-    return keyed.join(read_cache(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    return keyed.join(cut(read_cache(spark, cache, version), "counts"), "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def _any(df: DataFrame) -> bool:
