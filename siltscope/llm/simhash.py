@@ -3,16 +3,20 @@
 Fingerprints: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, 4-word shingles (repeats included, joined by one space; fewer words: all
 of them; none: fingerprint zero), XXH64 with seed 42; a bit is 1 if it is set in over half the hashes.
 
-All pairs of distinct fingerprints at most 4 bits apart are found exactly. Of 6 blocks of bits two are equal in such a pair, so
-each of the 15 pairs of blocks is a table whose buckets hold candidates. A bucket is compared in vertical layout: the candidates'
-differences are stored as bit planes, 64 comparisons to a word, and plane after plane is added to carry-save counters; after each
-eight planes, blocks of comparisons that have all passed the radius are abandoned. Only a bucket's spanning links leave the task.
-A bucket with too many fingerprints is not compared: its rows go on with two more equal blocks of the bits not yet fixed, which
-again loses no pair; distinct fingerprints part in the end. Links are then joined to components.
+All pairs of distinct fingerprints at most `radius` bits apart are found exactly. Of radius + e blocks of bits, e are equal in such a
+pair, so each choice of e blocks is a table whose buckets hold candidates; e is the least that makes buckets small for the number of
+fingerprints there is (5 tables of one block up to 2 ** 18, 15 of two of 6 up to 2 ** 27, 35 of three of 7 up to 2 ** 33, and so on). A bucket is
+compared in vertical layout: its fingerprints are stored once as bit planes, a word for each bit and 64 candidates. A fingerprint
+is compared with a word of candidates plane by plane: the plane, inverted where its own bit is set, is added to carry-save counters,
+so 64 distances grow at once. After each eight planes, words whose candidates have all passed the radius are abandoned. Only a
+bucket's spanning links leave the task. A bucket with too many fingerprints is not compared: its rows go on with more equal blocks
+of the bits not yet fixed, which again loses no pair; distinct fingerprints part in the end. Links are then joined to components.
 
 Defined cases: null and empty texts, and those of white space only, have fingerprint zero and are linked like any other; equal
 texts have equal fingerprints and are one node; a null doc_id gets the component of its fingerprint, and is no component's id
-unless all its members are null; an empty table gives no rows; other columns are ignored; texts of any length are hashed whole.
+unless all its members are null; an empty table gives no rows; other columns are ignored by near_duplicates() and kept, under any
+name, by drop_near_duplicates(); ties for the one that stays go to the smallest doc_id, then the least SHA-256 of the text, then any
+of the equal rows; texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import documents, id_and_text
+from siltscope.llm.common import documents, free_names, id_and_text
 from siltscope.llm.graph import Forest, components
 from siltscope.session import cut, ship
 
@@ -64,35 +68,71 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int, lanes: int = 1024) -> np.ndarray:
-    """Which pairs of unsigned 64-bit a, b differ in at most radius (below 8) bits: vertical planes, carry-save counters."""
-    n = len(a)
-    pad = -n % lanes
-    diff = np.r_[a ^ b, np.full(pad, ALL, np.uint64)].view("u1").reshape(-1, lanes, 8)
-    alive, out = np.arange(len(diff)), np.zeros(len(diff) * lanes, bool)
-    one, two, four, over = (np.zeros((len(diff), lanes // 64), np.uint64) for _ in range(4))
-    for byte in range(8):
-        planes = np.packbits(np.unpackbits(diff[alive, :, byte, None], axis=2), axis=1)  # (blocks, lanes / 8, 8 planes)
-        for k in range(8):
-            plane = np.ascontiguousarray(planes[:, :, k]).view(np.uint64)
-            c1 = one & plane
-            one ^= plane
-            c2 = two & c1
-            two ^= c1
-            c4 = four & c2
-            four ^= c2
-            over |= c4
-        past = over.copy()
-        for far in range(radius + 1, 8):  # the counts below 8 that are beyond the radius
-            past |= (one if far & 1 else ~one) & (two if far & 2 else ~two) & (four if far & 4 else ~four)
-        keep = (past != ALL).any(axis=1)
-        if not keep.all():
-            alive, one, two, four, over, past = (x[keep] for x in (alive, one, two, four, over, past))
-        if not len(alive):
-            break
-    for i, block in zip(alive, ~past if len(alive) else ()):
-        out[i * lanes : (i + 1) * lanes] = np.unpackbits(block.view("u1"))
-    return out[:n]
+def planes(words: np.ndarray) -> np.ndarray:
+    """words: fingerprints, 64 to a row. A bit plane for each row and bit: bit i of planes[b, row] is bit b of the row's i-th fingerprint."""
+    out = np.empty((64, len(words)), np.uint64)
+    for r in range(0, len(words), 1024):
+        bits = np.unpackbits(words[r : r + 1024].view("u1").reshape(-1, 64, 8), axis=2, bitorder="little")  # row, candidate, bit
+        out[:, r : r + 1024] = np.packbits(bits, axis=1, bitorder="little").transpose(2, 0, 1).copy().view(np.uint64)[:, :, 0]
+    return out
+
+
+def near(fp: np.ndarray, plane: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of a query (a place in fp) and a word of candidates (a column of plane): the pairs with any candidate at most
+    radius (below 8) bits off, and a word with a bit for each such candidate."""
+    alive, own = np.arange(len(query)), fp[query]
+    one, two, four, over = (np.zeros(len(query), np.uint64) for _ in range(4))
+    past = over
+    for bit in range(64):
+        x = plane[bit, word] ^ (np.uint64(0) - (own >> np.uint64(bit) & np.uint64(1)))
+        c1 = one & x
+        one = one ^ x
+        c2 = two & c1
+        two = two ^ c1
+        over = over | (four & c2)
+        four = four ^ c2
+        if bit % 8 == 7:
+            past = over
+            for far in range(radius + 1, 8):  # the counts below 8 that are beyond the radius
+                past = past | ((one if far & 1 else ~one) & (two if far & 2 else ~two) & (four if far & 4 else ~four))
+            keep = np.flatnonzero(past != ALL)
+            if len(keep) < len(alive):
+                alive, own, word, one, two, four, over, past = (z[keep] for z in (alive, own, word, one, two, four, over, past))
+            if not len(alive):
+                break
+    return alive, ~past
+
+
+def near_pairs(fp: np.ndarray, size: np.ndarray, radius: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places a, places b) of the pairs in radius within each of the buckets that lie one after another in fp."""
+    n_words = -(-size // 64)
+    cost = np.cumsum(size * n_words)
+    begin, at = np.cumsum(size) - size, 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + at_once, side="right")))
+        m, w = size[at:stop], n_words[at:stop]
+        skip = np.cumsum(w) - w  # words before each bucket
+        of = np.repeat(np.arange(len(m)), m)
+        within_ = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        slot = skip[of] * 64 + within_
+        padded, place = np.zeros(int(w.sum()) * 64, np.uint64), np.full(int(w.sum()) * 64, -1)
+        padded[slot], place[slot] = fp[begin[at] : begin[at] + len(of)], begin[at] + np.arange(len(of))
+        plane = planes(padded.reshape(-1, 64))
+        # each fingerprint meets its own word of candidates and those after it
+        first = within_ // 64
+        n_pairs = w[of] - first
+        query = np.repeat(np.arange(len(of)), n_pairs)
+        word = np.arange(len(query)) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs) + (skip[of] + first)[query]
+        for i in range(0, len(query), at_once):
+            q, x = query[i : i + at_once], word[i : i + at_once]
+            alive, found = near(padded[slot], plane, q, x, radius)
+            if len(alive):
+                bits = np.unpackbits(found.view("u1").reshape(-1, 8), axis=1, bitorder="little")
+                pair, bit = np.nonzero(bits)
+                a, b = place[slot[q[alive[pair]]]], place[x[alive[pair]] * 64 + bit]
+                real = b > a  # candidates that are no padding, each pair once
+                yield a[real], b[real]
+        at = stop
 
 
 def block_masks(bits: list[int], blocks: int = 6, equal: int = 2) -> list[int]:
@@ -101,33 +141,40 @@ def block_masks(bits: list[int], blocks: int = 6, equal: int = 2) -> list[int]:
     return [sum(x) for x in combinations(parts, min(equal, len(parts)))]
 
 
+def equal_blocks(n: int, radius: int, small: int = 6) -> int:
+    """How many blocks of bits to hold equal, so that n fingerprints make buckets of some 2 ** small."""
+    e = 1
+    while e < 64 - radius and (1 << (64 * e // (radius + e) + small)) < n:
+        e += 1
+    return e
+
+
 def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     """Edges u, v (longs) that join all distinct fingerprints `fp` at most radius bits apart into their components."""
     spark = fps.sparkSession
     ship(spark)
-    blocks = radius + 2
+    equal = equal_blocks(fps.count(), radius)
+    blocks = radius + equal
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, left, right, held = Forest(), [], [], 0
+        forest, groups, held = Forest(), [], 0
 
         def flush():
             nonlocal held
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                for x, y in zip(*(z[near].view("i8").tolist() for near in [within(a, b, radius)] for z in (a, b))):
-                    forest.link(x, y)
-                left.clear()
-                right.clear()
+            if groups:
+                fp = np.concatenate(groups)
+                for a, b in near_pairs(fp, np.array([len(g) for g in groups]), radius):
+                    for x, y in zip(fp[a].view("i8").tolist(), fp[b].view("i8").tolist()):
+                        forest.link(x, y)
+                groups.clear()
                 held = 0
 
         def bucket(fp: np.ndarray):
             nonlocal held
-            for i in range(1, len(fp)):
-                left.append(fp[i:])
-                right.append(np.full(len(fp) - i, fp[i - 1], np.uint64))
-                held += len(fp) - i
-                if held >= 1 << 18:
-                    flush()
+            groups.append(fp)
+            held += len(fp)
+            if held >= 1 << 16:
+                flush()
 
         def rows(u, v, mask):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, mask)], names=["u", "v", "mask"])
@@ -162,11 +209,11 @@ def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
         x = rows.join(more, "mask").select("fp", F.col("more").alias("mask"), F.col("fp").bitwiseAND(F.col("more")).alias("key"))
         return x.repartition("mask", "key").sortWithinPartitions("mask", "key").select("fp", "mask").mapInArrow(compare, "u long, v long, mask long")
 
-    masks = [(0, m) for m in block_masks(list(range(64)), blocks)]
+    masks = [(0, m) for m in block_masks(list(range(64)), blocks, equal)]
     got = cut(dealt(fps.select("fp", F.lit(0).cast("long").alias("mask")), masks), "links")
     found = got.where("mask is null").select("u", "v")
     while (hot := got.where("mask is not null").select(F.col("u").alias("fp"), "mask")).limit(1).count():
-        masks = [(a, a | m) for a in dict.fromkeys(b for _, b in masks) if a != ALL for m in block_masks([k for k in range(64) if not a >> k & 1], blocks)]
+        masks = [(a, a | m) for a in dict.fromkeys(b for _, b in masks) if a != ALL for m in block_masks([k for k in range(64) if not a >> k & 1], blocks, equal)]
         have = {r[0] % (1 << 64) for r in hot.select("mask").distinct().collect()}  # at most as many as there are masks
         masks = [(a, b) for a, b in masks if a in have]
         got = cut(dealt(hot, masks), "links")
@@ -185,29 +232,31 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     marked = cut(fingerprints(docs, width), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     named = nodes.join(roots(nodes, radius), "fp")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
+    named = cut(named, "named")
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    of_fp = cut(named.join(least, "root").select("fp", "component_id"), "component-ids")  # plain tables: hot keys can be split
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (null last, then by the text's MD5)."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__id"), F.md5(F.coalesce("text", F.lit(""))).alias("__md5")]
+    """docs with one document of each component: the one with the smallest doc_id (null last, then by the text's SHA-256)."""
+    id_, digest, row = free_names(docs, "__id", "__digest", "__row")
+    who = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.sha2(F.coalesce("text", F.lit("")), 256)]
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), width) for x in b.column("text")], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__md5"), pa.array(fp)], names=["__id", "__md5", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(fp)], names=["id", "digest", "fp"])
 
-    marked = docs.select(*key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "__id long, __md5 string, fp long")
+    marked = docs.select(who[0].alias("id"), who[1].alias("digest"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "id long, digest string, fp long")
     marked = cut(marked, "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct("__id", "__md5")).alias("first")), "nodes")
-    stay = nodes.join(roots(nodes, radius), "fp").groupBy("root").agg(F.min("first").alias("x")).select("x.*")
-    held = docs.select("*", *key).join(stay, ["__id", "__md5"], "left_semi")
+    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("first")), "nodes")
+    stay = nodes.join(roots(nodes, radius), "fp").groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.id").alias(id_), F.col("x.digest").alias(digest))
+    held = docs.withColumns({id_: who[0], digest: who[1]}).join(cut(stay, "stay"), [id_, digest], "left_semi")
     # repeated rows share a key: one of them stays
-    first = F.row_number().over(Window.partitionBy("__id", "__md5").orderBy("__id"))
-    return held.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy(id_, digest).orderBy(id_))
+    return held.withColumn(row, first).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

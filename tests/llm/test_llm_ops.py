@@ -235,20 +235,33 @@ def test_simhash(docs, none):
 
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    b = a.copy()
-    for i in range(2000):
-        for k in rng.integers(0, 64, rng.integers(0, 9)):
-            b[i] ^= np.uint64(1) << np.uint64(k)
-    b[2000:] = rng.integers(0, 2**64, 1000, dtype=np.uint64)
-    d = np.array([bin(int(x) ^ int(y)).count("1") for x, y in zip(a, b)])
-    for radius in (0, 3, 4, 7):
-        assert (simhash.within(a, b, radius) == (d <= radius)).all()
-
-
-@pytest.mark.parametrize("most", [4096, 3])
-def test_links_lose_no_pair(spark, most):
+    for size in ([1, 2, 3, 64, 65, 130, 1, 700], [2] * 300, [5]):
+        fp, of = [], []
+        for k, m in enumerate(size):
+            base = rng.integers(0, 2**64, dtype=np.uint64)
+            for _ in range(m):
+                x = base if rng.random() < 0.7 else rng.integers(0, 2**64, dtype=np.uint64)
+                for bit in rng.integers(0, 64, rng.integers(0, 6)):
+                    x ^= np.uint64(1) << np.uint64(bit)
+                fp.append(x)
+                of.append(k)
+        fp = np.array(fp, np.uint64)
+        d = np.bitwise_count(fp[:, None] ^ fp[None, :])
+        same = np.array(of)[:, None] == np.array(of)[None, :]
+        for radius in (0, 3, 4, 7):
+            for at_once in (1 << 17, 50):
+                got = [(a, b) for x, y in simhash.near_pairs(fp, np.array(size), radius, at_once) for a, b in zip(x.tolist(), y.tolist())]
+                assert sorted(got) == sorted((a, b) for a, b in zip(*(z.tolist() for z in np.nonzero((d <= radius) & same))) if a < b)
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    assert [simhash.equal_blocks(n, 4) for n in (1, 1 << 18, 1 << 22, 10**9, 10**10, 10**12)] == [1, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize(("most", "equal"), [(4096, 1), (3, 2), (4096, 3)])
+def test_links_lose_no_pair(spark, most, equal, monkeypatch):
     """With room for 3 only, nearly all buckets are parted by more bits."""
+    monkeypatch.setattr(simhash, "equal_blocks", lambda n, radius: equal)
     r = random.Random(8)
     fps = [r.getrandbits(64) for _ in range(40)]
     fps += [f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for f in fps for _ in range(4)]
