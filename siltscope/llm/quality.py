@@ -1,16 +1,19 @@
 """Operator 9: quality rules, with repetition measured on suffix arrays.
 
 The texts of a batch become one array of word numbers. In documents with a repeated 3-word window (no other has a repeat of three
-words or more) the suffixes are sorted by prefix doubling, all documents at once; the ranks of each doubling level then give the longest common prefix of neighbours in the suffix array. Runs of neighbours that share at least
-min_words words are the intervals of that prefix-length array: the repeats that no word more to the right extends are its values,
-and of a repeat's copies the union of spans is the same with or without those that a word to the left extends. A document passes
-if the union covers at most max_covered of its words and the longest repeat has at most max_longest words.
+words or more) the suffixes are sorted by prefix doubling, all documents at once; the ranks of each doubling level then give the
+longest common prefix of neighbours in the suffix array. The intervals of that prefix array (runs of neighbours that share so many
+words, and beyond which fewer are shared) are the repeats that no word more to the right extends; those whose occurrences do not
+all have the same word before them no word to the left extends either: these are the maximal repeats. The spans of the maximal
+repeats of min_words words and more are united. A document passes if the union covers at most max_covered of its words and the
+longest repeat has at most max_longest words.
 
 Base columns (of the words [^\\x20\\x09-\\x0D]+): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words. base_failed: fewer
 than 50 words, or more than half of them in repeated 3-word windows.
 
 Defined cases: null and empty texts have zeros everywhere and fail the base; equal rows get equal results; doc_id may be null; an
-empty table gives no rows; other columns are ignored; a text of any length is measured whole.
+empty table gives no rows; a text of any length is measured whole; quality() keeps the other columns, and adds underscores to the
+name of its own if one of them has it; keep_good() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import WORD, documents, slices
+from siltscope.llm.common import WORD, documents, free_names, slices
 from siltscope.session import ship
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
@@ -105,6 +108,47 @@ def suffix_array(codes: np.ndarray, doc: np.ndarray, held: np.ndarray, width: in
     return sa, lcp
 
 
+def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, codes: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, lengths): each suffix that lies in an interval of a maximal repeat of `least` words or more, with the longest such.
+
+    A stack holds the intervals that are open, with their members that no maximal repeat has yet; an interval that ends and is not
+    maximal hands them to the one around it, which is shorter (its own occurrences are covered by the repeat that begins a word earlier).
+    """
+    at = np.flatnonzero(lcp >= least)
+    if not len(at):
+        return at, at
+    before = np.where((sa > 0) & (doc[sa - 1] == doc[sa]), codes[sa - 1], -1 - np.arange(len(sa)))  # at a document's begin: like no other
+    differs = np.zeros(len(sa), bool)
+    differs[1:] = before[1:] != before[:-1]
+    changes = np.cumsum(differs)
+    values, ends = lcp[at].tolist(), np.flatnonzero(np.append(np.diff(at) != 1, True)).tolist()
+    found: list[tuple[list[int], int]] = []
+    k = 0
+    for end in ends:  # a run of neighbours that all share `least` words
+        stack: list[list] = []  # [words, first place in sa, members]
+        fresh = [int(at[k]) - 1]
+        for i in range(k, end + 2):
+            here = int(at[i]) if i <= end else int(at[end]) + 1
+            value = values[i] if i <= end else 0
+            first, members = here - 1, fresh
+            while stack and stack[-1][0] > value:
+                words, first, inside = stack.pop()
+                inside += members
+                members = inside
+                if changes[here - 1] != changes[first]:
+                    found.append((members, words))
+                    members = []
+            if stack and stack[-1][0] == value:
+                stack[-1][2] += members
+            elif value:
+                stack.append([value, first, members])
+            fresh = [here]
+        k = end + 1
+    if not found:
+        return at[:0], at[:0]
+    return sa[np.concatenate([m for m, _ in found])], np.repeat([n for _, n in found], [len(m) for m, _ in found])
+
+
 def measure(texts: list[str], min_words: int) -> list[list[int]]:
     """The columns of SCHEMA for each text."""
     words = [WORD.findall(t) for t in texts]
@@ -126,16 +170,16 @@ def measure(texts: list[str], min_words: int) -> list[list[int]]:
     longest = np.zeros(len(texts), np.int64)
     covered = longest
     if len(sa):
-        match = np.maximum(lcp, np.r_[lcp[1:], 0])  # the longest prefix that the suffix shares with any other of its document
-        np.maximum.at(longest, doc[sa], match)
-        wide = match >= min_words
-        covered = total(spans_to_mask(sa[wide], match[wide], len(codes)))
+        place, size = maximal_repeats(sa, lcp, codes, doc, min_words)
+        np.maximum.at(longest, doc[sa], lcp)  # shorter ones count as well; the longest is maximal
+        covered = total(spans_to_mask(place, size, len(codes)))
     return [list(n_words), chars, symbols, dup, list(repeat), list(covered), list(longest)]
 
 
 def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.45, max_longest: int = 100, into: str = "q") -> DataFrame:
     """docs (with a column text) plus a struct column `into`: the measures, base_failed and kept."""
     ship(docs.sparkSession)
+    (into,) = free_names(docs, into)
     names = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +204,8 @@ def _with(docs: DataFrame, into: str):
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    return quality(docs, **limits, into="__quality").where("__quality.kept").drop("__quality")
+    out = quality(docs, **limits)
+    return out.where(F.col(f"`{out.columns[-1]}`")["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
