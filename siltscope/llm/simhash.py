@@ -9,8 +9,9 @@ fingerprints there is (5 tables of one block up to 2 ** 18, 15 of two of 6 up to
 compared in vertical layout: its fingerprints are stored once as bit planes, a word for each bit and 64 candidates. A fingerprint
 is compared with a word of candidates plane by plane: the plane, inverted where its own bit is set, is added to carry-save counters,
 so 64 distances grow at once. After each eight planes, words whose candidates have all passed the radius are abandoned. Only a
-bucket's spanning links leave the task. A bucket with too many fingerprints is not compared: its rows go on with more equal blocks
-of the bits not yet fixed, which again loses no pair; distinct fingerprints part in the end. Links are then joined to components.
+bucket's spanning links leave the task. A bucket with too many fingerprints is not compared: those fingerprints, once each, go through
+the tables of two more equal blocks, which again lose no pair; with four bits left free, no bucket has over 16. Links are then
+joined to components.
 
 Defined cases: null and empty texts, and those of white space only, have fingerprint zero and are linked like any other; equal
 texts have equal fingerprints and are one node; a null doc_id gets the component of its fingerprint, and is no component's id
@@ -154,7 +155,6 @@ def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     spark = fps.sparkSession
     ship(spark)
     equal = equal_blocks(fps.count(), radius)
-    blocks = radius + equal
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, groups, held = Forest(), [], 0
@@ -176,8 +176,8 @@ def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
             if held >= 1 << 16:
                 flush()
 
-        def rows(u, v, mask):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, mask)], names=["u", "v", "mask"])
+        def rows(u, v):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], names=["u", "v"])
 
         key, group, size, big = None, [], 0, False
         for b in batches:
@@ -191,34 +191,28 @@ def links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
                     key, group, size, big = now, [], 0, False
                 group.append(fp[s:e])
                 size += e - s
-                if size > most:  # to be parted by more bits; the rows pass through
+                if size > max(most, 16):  # to be parted by more bits; the fingerprints pass through
                     big = True
                     x = np.concatenate(group).view("i8")
-                    yield rows(x, np.zeros(len(x), "i8"), np.full(len(x), np.uint64(key[0])).view("i8"))
+                    yield rows(x, [None] * len(x))
                     group = []
         if size > 1 and not big:
             bucket(np.concatenate(group))
         flush()
         got = forest.edges()
-        yield rows([x for x, _ in got], [y for _, y in got], [None] * len(got))
-
-    def dealt(rows: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
-        """rows (fp, mask) under each further mask, sorted by bucket. The table of masks is fixed by the bits, not by the data."""
-        signed = [(a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b) for a, b in masks]
-        more = F.broadcast(spark.createDataFrame(signed, "mask long, more long"))
-        x = rows.join(more, "mask").select("fp", F.col("more").alias("mask"), F.col("fp").bitwiseAND(F.col("more")).alias("key"))
-        return x.repartition("mask", "key").sortWithinPartitions("mask", "key").select("fp", "mask").mapInArrow(compare, "u long, v long, mask long")
-
-    masks = [(0, m) for m in block_masks(list(range(64)), blocks, equal)]
-    got = cut(dealt(fps.select("fp", F.lit(0).cast("long").alias("mask")), masks), "links")
-    found = got.where("mask is null").select("u", "v")
-    while (hot := got.where("mask is not null").select(F.col("u").alias("fp"), "mask")).limit(1).count():
-        masks = [(a, a | m) for a in dict.fromkeys(b for _, b in masks) if a != ALL for m in block_masks([k for k in range(64) if not a >> k & 1], blocks, equal)]
-        have = {r[0] % (1 << 64) for r in hot.select("mask").distinct().collect()}  # at most as many as there are masks
-        masks = [(a, b) for a, b in masks if a in have]
-        got = cut(dealt(hot, masks), "links")
-        found = found.unionByName(got.where("mask is null").select("u", "v"))
-    return found
+        yield rows([x for x, _ in got], [y for _, y in got])
+
+    found = None
+    while True:
+        masks = block_masks(list(range(64)), radius + equal, equal)
+        each = F.explode(F.split(F.lit(" ".join(str(m - (1 << 64) if m >> 63 else m) for m in masks)), " "))  # fixed by the bits, not by the data
+        x = fps.select("fp", each.alias("mask")).select("fp", F.col("mask").cast("long").alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        got = cut(x.repartition("mask", "key").sortWithinPartitions("mask", "key").select("fp", "mask").mapInArrow(compare, "u long, v long"), "links")
+        edges, hot = got.where("v is not null"), got.where("v is null").select(F.col("u").alias("fp"))
+        found = edges if found is None else found.unionByName(edges)
+        if equal >= 64 - radius or not hot.limit(1).count():
+            return found
+        fps, equal = cut(hot.distinct(), "hot"), min(64 - radius, equal + 2)
 
 
 def roots(nodes: DataFrame, radius: int) -> DataFrame:
