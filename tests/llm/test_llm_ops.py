@@ -543,12 +543,12 @@ def test_relatives_differ():
 # top k
 
 
-def brute_top(vectors, is_query, k):
-    ints = [(i, n, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, (n, v) in enumerate(vectors) if n is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def brute_top(vectors, is_query, k, clip=int):
+    ints = [(i, n, [clip(int(np.floor(256 * float(np.float32(x))))) for x in v]) for i, (n, v) in enumerate(vectors) if n is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, n, q in ints:
         if is_query(n):
-            found = sorted((-sum(a * b for a, b in zip(q, x)), m) for j, m, x in ints if j != i and len(x) == len(q))[:k]
+            found = sorted((-clip(sum(a * b for a, b in zip(q, x))), m) for j, m, x in ints if j != i and len(x) == len(q))[:k]
             out += [(n, r, m, -s) for r, (s, m) in enumerate(found, 1)]
     return sorted(out)
 
@@ -561,10 +561,23 @@ def test_top_k(spark, scale):
     df = spark.createDataFrame([(n, x, 1) for n, x in v], "vec_id long, embedding array<float>, score int").repartition(5)
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, per_block=64, queries_per_block=3)
     clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
-    want = [(n, r, m, clip(s)) for n, r, m, s in brute_top(v, lambda n: n % 50 == 0, 5)] if scale == 1 else None
     found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect())
-    if want:
-        assert found == want
-    else:
-        assert len(found) == len(brute_top(v, lambda n: n % 50 == 0, 5))
+    assert found == brute_top(v, lambda n: n % 50 == 0, 5, clip)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 2.0])
+def test_bounds_spare_products_and_lose_nothing(spread):
+    """With unequal dimensions most pairs are dropped; with equal ones few are."""
+    rng = np.random.default_rng(7)
+    scale = np.exp(-spread * np.arange(64) / 8)
+    x = np.floor(256 * rng.normal(size=(5000, 64)) * scale)
+    q, ids = x[::50], np.arange(5000)
+    first = topk.best_of_blocks(q, ids[::50], x[:1000].T.copy(), ids[:1000], ids[:1000], 5)
+    got = topk.best_of_blocks(q, ids[::50], x.T.copy(), ids, ids, 5, first.least)
+    s = q @ x.T
+    s[np.arange(100), ids[::50]] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
+    assert (got.id == want).all() and (got.score == np.take_along_axis(s, want, 1)).all()
+    share = got.products / (got.pairs * 64)
+    assert share < {0.0: 1.0, 0.5: 0.6, 2.0: 0.25}[spread]
