@@ -5,7 +5,7 @@ vertical layout (a dimension's values lie together), and so are the queries. Eve
 candidates, and each query's k-th score there is its first threshold everywhere; then it meets every block once, by an equi-join on
 the block's number. Within a pair of blocks, scores accumulate one group of dimensions at a time, those of most mass first. What the
 other dimensions can still add is at most the product of the two remaining norms (Cauchy-Schwarz); each query drops the candidates
-whose bound is below its own k-th score. While most pairs are alive a group of dimensions is one product of the two blocks, without the
+whose bound is below its own k-th score. While over a fourth of the pairs are alive a group of dimensions is one product of the two blocks, without the
 candidates that no query needs; after that each query goes on with its own survivors, compacted. The k best of each pair of blocks
 are then ranked for each query.
 
@@ -79,7 +79,7 @@ def _tile(best: Best, rows: np.ndarray, q, q_uids, left_q, x, left_x, x_uids, id
     for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
         alive = over(score + left_q[j, rows][:, None] * left_x[j, live], least[:, None])
         n = int(np.count_nonzero(alive))
-        if 2 * n < alive.size and j:  # each query goes on by itself
+        if 4 * n < alive.size and j:  # each query goes on by itself
             for i in np.flatnonzero(alive.any(axis=1)):
                 mine = np.flatnonzero(alive[i])
                 own, mine = score[i, mine], live[mine]

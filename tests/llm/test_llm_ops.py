@@ -580,4 +580,4 @@ def test_bounds_spare_products_and_lose_nothing(spread):
     want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
     assert (got.id == want).all() and (got.score == np.take_along_axis(s, want, 1)).all()
     share = got.products / (got.pairs * 64)
-    assert share < {0.0: 1.0, 0.5: 0.6, 2.0: 0.25}[spread]
+    assert share < {0.0: 1.0, 0.5: 0.7, 2.0: 0.3}[spread]
