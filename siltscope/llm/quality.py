@@ -144,9 +144,8 @@ def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, codes: np.ndarray, doc: np.
                 stack.append([value, first, members])
             fresh = [here]
         k = end + 1
-    if not found:
-        return at[:0], at[:0]
-    return sa[np.concatenate([m for m, _ in found])], np.repeat([n for _, n in found], [len(m) for m, _ in found])
+    members = np.array([i for m, _ in found for i in m], np.int64)
+    return sa[members], np.array([n for m, n in found for _ in m], np.int64)
 
 
 def measure(texts: list[str], min_words: int) -> list[list[int]]:

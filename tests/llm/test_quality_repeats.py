@@ -46,6 +46,9 @@ def test_nested_and_many():
     words = a + ["x"] + b + a + ["y"] + a[5:] + b + ["z"] + a[:9]
     got = quality.measure([" ".join(words)], 8)
     assert (got[5][0], got[6][0]) == brute(words, 8)
+    assert quality.maximal_repeats(np.array([0, 5]), np.array([0, 9]), np.zeros(20, np.int64), np.zeros(20, np.int64), 8)[0].dtype == np.int64
+    got = quality.measure([" ".join(["s"] + a + ["t"] + a), " ".join(["u"] + b + a + ["u"] + b + a)], 8)  # intervals whose members have all been given
+    assert [got[5][k] for k in (0, 1)] == [40, 66]
     began = time.time()
     got = quality.measure(["w " * 20_000], 8)
     assert got[5][0] == 20_000 and got[6][0] == 19_999 and time.time() - began < 10
