@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 # Fixed value: what ends a line.
 LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
+LINE_ENDS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
 
 def line_count(text: Column | str) -> Column:
     """Number of lines, as Python's str.splitlines counts them; '' has none."""
     c = F.col(text) if isinstance(text, str) else text
-    return (F.regexp_count(c, F.lit(LINE_END)) + F.when((F.length(c) > 0) & ~c.rlike(f"(?:{LINE_END})\\z"), 1).otherwise(0)).cast("long")
+    open_end = (F.length(c) > 0) & ~F.right(c, F.lit(1)).isin(*LINE_ENDS)  # only the last character is looked at
+    return (F.regexp_count(c, F.lit(LINE_END)) + F.when(open_end, 1).otherwise(0)).cast("long")
 
 
 def _round(x: float | None, digits: int) -> float | None:

@@ -135,6 +135,19 @@ def first_high(functions: DataFrame, n: int) -> DataFrame:
     return high_complexity(functions).orderBy("project", "ordinal", "walk_idx").limit(n)
 
 
+def complexity_totals(functions: DataFrame) -> DataFrame:
+    """project, total_functions, average_confidence, high_complexity_count and both distributions. Confidences are a few fixed hundredths: they are
+    counted, so that no task holds a project's functions and sums come out alike in any order."""
+    high = F.sum(is_high(F.col("time_complexity")).cast("long")).alias("high_complexity_count")
+    hundredths = F.sum(F.round(F.col("confidence") * 100).cast("long"))
+    out = functions.groupBy("project").agg(F.count(F.lit(1)).alias("total_functions"), hundredths.alias("hundredths"), high)
+    for column, name in (("time_complexity", "time_complexity_distribution"), ("space_complexity", "space_complexity_distribution")):
+        counts = distribution(functions, column).groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n_functions")))).alias(name))
+        out = out.join(counts, "project", "left")
+    mean = py_round(F.col("hundredths") / 100 / F.col("total_functions"), 2).alias("average_confidence")
+    return out.select("project", "total_functions", mean, "time_complexity_distribution", "space_complexity_distribution", "high_complexity_count")
+
+
 def complexity_summary(projects: DataFrame, functions: DataFrame) -> DataFrame:
     """One row for each project; the mean adds in the order of the walk, and is null where there is no function."""
     high = F.when(is_high(F.col("time_complexity")), F.struct("ordinal", "walk_idx", "name", F.col("path").alias("file"), "line", F.col("time_complexity").alias("time"), F.col("space_complexity").alias("space"), "confidence", F.col("dominant_operation").alias("dominant_op"), F.slice("reasoning", 1, 3).alias("reasoning")))

@@ -19,21 +19,29 @@ from siltscope.session import ship
 
 # Cost of a call by the called name.
 TIME_COST = {
-    "O(1)": "len append pop add get setdefault clear",
-    "O(n log n)": "sort sorted",
-    "O(n)": "reverse copy list set dict sum max min any all index count remove insert insort insort_left insort_right heapify",
-    "O(k)": "extend update",
-    "O(log n)": "bisect_left bisect_right heappush heappop",
-    "O(n log k)": "nlargest nsmallest",
+    "O(1)": ["len", "append", "pop", "add", "get", "setdefault", "clear"],
+    "O(n log n)": ["sort", "sorted"],
+    "O(n)": ["reverse", "copy", "list", "set", "dict", "sum", "max", "min", "any", "all", "index", "count", "remove", "insert", "insort", "insort_left", "insort_right", "heapify"],
+    "O(k)": ["extend", "update"],
+    "O(log n)": ["bisect_left", "bisect_right", "heappush", "heappop"],
+    "O(n log k)": ["nlargest", "nsmallest"],
 }
 # Space that a call takes by the called name.
-SPACE_COST = {"O(n)": "sorted list set dict copy deepcopy", "O(k)": "slice"}
+SPACE_COST = {
+    "O(n)": ["sorted", "list", "set", "dict", "copy", "deepcopy"],
+    "O(k)": ["slice"],
+}
 # Kinds of collection by the annotation's name.
-COLLECTIONS = {"list": "List list Sequence Iterable Collection", "dict": "Dict dict Mapping", "set": "Set set", "tuple": "Tuple tuple"}
+COLLECTIONS = {
+    "list": ["List", "list", "Sequence", "Iterable", "Collection"],
+    "dict": ["Dict", "dict", "Mapping"],
+    "set": ["Set", "set"],
+    "tuple": ["Tuple", "tuple"],
+}
 # Decorators that keep results.
 MEMO = frozenset(("lru_cache", "cache", "memoize", "cached"))
 
-_by_name = lambda table: {name: value for value, names in table.items() for name in names.split()}
+_by_name = lambda table: {name: value for value, names in table.items() for name in names}
 _time, _space, _kind = map(_by_name, (TIME_COST, SPACE_COST, COLLECTIONS))
 
 _variable = pa.struct([("name", pa.string()), ("source", pa.string()), ("type_hint", pa.string()), ("is_collection", pa.bool_()), ("collection_type", pa.string()), ("is_input_dependent", pa.bool_()), ("constant_size", pa.int32())])
@@ -205,6 +213,21 @@ def keeps_results(function) -> bool:
     return False
 
 
+def analyze_function(source: str, name: str | None = None, spark=None) -> dict:
+    """The classes of one function of a source text (the first, or the first of that name), as operators.complexity gives them."""
+    from pyspark.sql import SparkSession
+
+    from siltscope.operators.complexity import function_complexity
+
+    spark = spark or SparkSession.getActiveSession()
+    status, _, functions = parse(source)
+    wanted = [f for f in functions if name is None or f["name"] == name][:1]
+    if not wanted:
+        raise ValueError(f"no function{f' {name}' if name else ''} in the text ({status})")
+    row = spark.createDataFrame([("", 0, "", True, wanted)], f"project string, ordinal long, path string, in_complexity_scope boolean, functions array<{FUNCTION}>")
+    return function_complexity(row).first().asDict(recursive=True)
+
+
 def function_facts(function: ast.FunctionDef | ast.AsyncFunctionDef, walk_idx: int = 0) -> dict:
     """One row of FUNCTION."""
     flow = Flow(function)

@@ -7,16 +7,19 @@ each project and pattern, so no window over files is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["category", "pattern", "pattern_ord"]
 
 
 def keyword_matches(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """project, ordinal, path and the pattern's columns, once for each file and pattern. files: text_lc is the lower-case text."""
-    words = F.broadcast(catalog.select(*KEY, F.explode("keywords").alias("k")).select(*KEY, F.lower("k").alias("k")))
-    return files.select("project", "ordinal", "path", "text_lc").join(words, F.col("text_lc").contains(F.col("k"))).select("project", "ordinal", "path", *KEY).distinct()
+    """project, ordinal, path and the pattern's columns, once for each file and pattern. files: text_lc is the lower-case text.
+
+    A file meets each pattern once, and the pattern's keywords are tried until one is found: no row comes twice, and nothing is shuffled.
+    """
+    words = F.broadcast(catalog.select(*KEY, F.transform("keywords", F.lower).alias("ks")))
+    return files.select("project", "ordinal", "path", "text_lc").join(words, F.exists("ks", lambda k: F.contains("text_lc", k))).select("project", "ordinal", "path", *KEY)
 
 
 def import_hits(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -43,10 +46,25 @@ def pattern_matches(files: DataFrame, catalog: DataFrame, import_scope: str = "c
     return both.groupBy("project", *KEY, "ordinal", "path").agg(F.max("by_keyword").alias("by_keyword"), F.max("by_import").alias("by_import"))
 
 
-def pattern_files(matches: DataFrame, catalog: DataFrame, first: int | None = None) -> DataFrame:
-    """project, category, pattern, first_ordinal, pattern_ord, n_files, files (in the order of the walk; the first few if asked)."""
-    places = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "path"))), lambda x: x["path"])
-    out = matches.groupBy("project", *KEY).agg(F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n_files"), places.alias("files"))
-    if first is not None:
-        out = out.withColumn("files", F.slice("files", 1, first))
+def ranked_files(matches: DataFrame, first: int | None = None) -> DataFrame:
+    """project, the pattern's columns, position (from 1, in the order of the walk), path: a pattern's files as rows, or its first few.
+
+    Rows are ranked where they lie sorted, so no list is held in memory; with `first`, each task passes on that many of a pattern at most.
+    """
+    place = F.row_number().over(Window.partitionBy("project", *KEY).orderBy("ordinal", "path"))
+    out = matches.select("project", *KEY, "ordinal", "path").withColumn("position", place)
+    out = out if first is None else out.where(F.col("position") <= first)
+    return out.select("project", *KEY, "position", "path")
+
+
+def pattern_totals(matches: DataFrame, catalog: DataFrame) -> DataFrame:
+    """project, category, pattern, first_ordinal, pattern_ord, n_files, description."""
+    out = matches.groupBy("project", *KEY).agg(F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("n_files"))
     return out.join(F.broadcast(catalog.select("category", "pattern", "description")), ["category", "pattern"])
+
+
+def pattern_files(matches: DataFrame, catalog: DataFrame, first: int | None = None) -> DataFrame:
+    """pattern_totals and files, a list in the order of the walk (the first few if asked): for reports of a project, which show it whole."""
+    places = F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"])
+    lists = ranked_files(matches, first).groupBy("project", "category", "pattern").agg(places.alias("files"))
+    return pattern_totals(matches, catalog).join(lists, ["project", "category", "pattern"])

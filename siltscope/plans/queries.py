@@ -9,7 +9,9 @@ from siltscope.functions.scalars import line_count, py_round
 from siltscope.operators import complexity as cx
 from siltscope.operators import match, score
 from siltscope.operators.extract import FUNCTION, parse_files
+from siltscope.plans import generated
 from siltscope.plans.analyzer import Analysis
+from siltscope.session import cut, spread
 from siltscope.sources.catalog import catalog, entries
 from siltscope.sources.listing import SKIPPED, files_from, in_complexity_scope
 
@@ -46,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files of one project for each source. Prose is not parsed: it has no imports and no functions."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
     return d.select(F.col("source").alias("project"), F.col("doc_id").alias("ordinal"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lower("text").alias("text_lc"), line_count("text").alias("line_count"), F.lit("ok").alias("scan_status"), F.array().cast("array<string>").alias("imports"), F.array().cast(f"array<{FUNCTION}>").alias("functions"))
 
 
@@ -70,13 +72,17 @@ def keyword_matches(spark, sf_dir):
 
 
 def files_of_patterns(spark, sf_dir):
-    out = match.pattern_files(matches(spark, sf_dir), catalog(spark))
-    return out.select("project", "category", "pattern", "first_ordinal", "n_files", F.array_join("files", ",").alias("files"), "description")
+    """Each pattern's files as rows: a list would grow with the project."""
+    return match.ranked_files(matches(spark, sf_dir)).select("project", "category", "pattern", "position", "path")
+
+
+def pattern_totals(spark, sf_dir):
+    return match.pattern_totals(matches(spark, sf_dir), catalog(spark)).select("project", "category", "pattern", "first_ordinal", "n_files", "description")
 
 
 def top3_files(spark, sf_dir):
-    out = match.pattern_files(matches(spark, sf_dir), catalog(spark), first=3)
-    return out.select("project", "category", "pattern", F.array_join("files", ",").alias("files"))
+    out = match.ranked_files(matches(spark, sf_dir), first=3)
+    return out.groupBy("project", "category", "pattern").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]), ",").alias("files"))
 
 
 def pattern_counts(spark, sf_dir):
@@ -108,21 +114,23 @@ def project_sizes(spark, sf_dir):
     return score.project_sizes(text_files(spark, sf_dir))
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all projects (which name the projects as well), and their patterns' weights."""
     files, patterns = text_files(spark, sf_dir), catalog(spark)
-    found = match.pattern_matches(files, patterns)
-    return score.scored(files.select("project").distinct(), score.project_sizes(files), score.pattern_weights(found, patterns))
+    return score.project_sizes(files), score.pattern_weights(match.keyword_matches(files, patterns), patterns)
 
 
 def project_scores(spark, sf_dir):
+    sizes, weights = _parts(spark, sf_dir)
     tenths = lambda c: F.round(F.col(c) * 10).cast("long").alias(f"{c}_tenths")
-    return _scored(spark, sf_dir).select("project", tenths("dsa_weight"), tenths("design_weight"), *[F.round(c, 6).alias(c) for c in ("dsa_score", "design_score", "complexity_bonus", "raw_rating")], "dsa_patterns_count", "design_patterns_count", "files_scanned", "total_lines")
+    return score.scored(sizes, sizes, weights).select("project", tenths("dsa_weight"), tenths("design_weight"), *[F.round(c, 6).alias(c) for c in ("dsa_score", "design_score", "complexity_bonus", "raw_rating")], "dsa_patterns_count", "design_patterns_count", "files_scanned", "total_lines")
 
 
 def project_rating(spark, sf_dir):
     """The rating as reported, with Python's rounding."""
-    files, patterns = text_files(spark, sf_dir), catalog(spark)
-    return score.rate(files.select("project").distinct(), score.project_sizes(files), score.pattern_weights(match.pattern_matches(files, patterns), patterns))
+    sizes, weights = _parts(spark, sf_dir)
+    sizes = cut(sizes, "sizes")  # read twice, small
+    return score.rate(sizes, sizes, weights)
 
 
 def score_grid(spark, sf_dir):
@@ -197,22 +205,28 @@ def corpus_summary(spark, sf_dir):
 
 
 def rounding(spark, sf_dir):
-    x = spark.createDataFrame([(5.25, 1), (4.35, 1), (0.725, 2), (2.675, 2)], "x double, digits int")
-    return x.select("x", "digits", F.when(F.col("digits") == 1, py_round(F.col("x"), 1)).otherwise(py_round(F.col("x"), 2)).alias("rounded"))
+    """Fortieths, many of which lie half-way between two tenths or hundredths, in decimal or in binary."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")).cast("double") / 40).alias("x"))
+    return x.select("l_orderkey", "l_linenumber", py_round(F.col("x"), 1).alias("tenths"), py_round(F.col("x"), 2).alias("hundredths"))
+
+
+def average_confidence(spark, sf_dir):
+    return cx.complexity_totals(classes(spark, sf_dir)).select("project", "total_functions", "average_confidence", "high_complexity_count")
 
 
 QUERIES = {
     "rating_by_source": project_rating,
     "line_counts": line_counts, "page_line_counts": page_line_counts, "project_sizes": project_sizes,
-    "keyword_matches": keyword_matches, "pattern_files": files_of_patterns, "pattern_top3": top3_files, "pattern_counts": pattern_counts,
+    "keyword_matches": keyword_matches, "pattern_files": files_of_patterns, "pattern_totals": pattern_totals, "pattern_top3": top3_files, "pattern_counts": pattern_counts,
     "import_matches_cumulative": imports_cumulative, "import_matches_file": imports_of_file,
     "project_scores": project_scores, "score_grid": score_grid,
     "time_class": _of("time_complexity", "reason"), "space_class": _of("space_complexity"), "confidence": _of("confidence"), "dominant_operation": _of("dominant_operation"), "recursion_type": _of("recursion_type"), "loop_depth_class": _of("loop_depth_class"),
     "time_distribution": lambda s, d: cx.distribution(classes(s, d), "time_complexity"), "space_distribution": lambda s, d: cx.distribution(classes(s, d), "space_complexity"),
     "high_complexity": lambda s, d: cx.high_complexity(classes(s, d)).select("l_orderkey", "l_linenumber", "time_complexity"), "high_top10": high_top10,
-    "average_confidence": lambda s, d: classes(s, d).groupBy("project").agg(F.count(F.lit(1)).alias("total_functions"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("summed_percent")),
+    "average_confidence": average_confidence,
     "path_scope": path_scope, "rounding": rounding,
     "corpus_functions": corpus_functions, "corpus_imports": corpus_imports, "corpus_matches": corpus_matches, "corpus_rating": corpus_rating, "corpus_summary": corpus_summary,
+    **generated.QUERIES,
 }
 
 
@@ -239,6 +253,12 @@ hits AS (SELECT f.project, f.ordinal, p.category, p.pattern, coalesce(bool_or(co
   FROM files f CROSS JOIN (SELECT category, pattern FROM catalog) p LEFT JOIN wanted w USING (category, pattern) LEFT JOIN (SELECT project, ordinal, unnest(names) AS name FROM files) n ON n.project = f.project AND n.ordinal = f.ordinal GROUP BY ALL)"""
 
 
+#: What scores and labels must be, written out for the SQL: (weight below which a piece holds, score at its start, weight there, slope).
+DSA_SQL = [(2, 2.0, 0, 1.0), (5, 4.0, 2, 0.67), (10, 6.0, 5, 0.4), (None, 8.0, 10, 0.1)]
+DESIGN_SQL = [(3, 2.0, 0, 0.67), (8, 4.0, 3, 0.4), (15, 6.0, 8, 0.29), (None, 8.0, 15, 0.1)]
+LABEL_SQL = "CASE WHEN {x} <= 2 THEN 'Poor - Minimal value, basic code' WHEN {x} <= 4 THEN 'Below Average - Simple structures only' WHEN {x} <= 6 THEN 'Average - Some DSA/design patterns' WHEN {x} <= 8 THEN 'Good - Strategic DSA and design' ELSE 'Excellent - Comprehensive architecture' END"
+
+
 def pieces_sql(w: str, pieces: list[tuple]) -> str:
     out = f"CASE WHEN {w} IS NULL THEN 1.0::DOUBLE"
     for below, start, origin, slope in pieces:
@@ -247,10 +267,6 @@ def pieces_sql(w: str, pieces: list[tuple]) -> str:
     return out
 
 
-def label_sql(x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} <= {most} THEN '{label}'" for most, label in score.LABELS[:-1]) + f" ELSE '{score.LABELS[-1][1]}' END"
-
-
 BONUS = "CASE WHEN {f} = 0 THEN 0.0::DOUBLE ELSE least(5.0::DOUBLE, {f} / 5.0::DOUBLE) + least(5.0::DOUBLE, {n} / 500.0::DOUBLE) END"
 RAW = "greatest(1.0::DOUBLE, least(10.0::DOUBLE, dsa_score * 0.4::DOUBLE + design_score * 0.5::DOUBLE + {b} * 0.1::DOUBLE))"
 KIND = "CASE recursive_calls WHEN 0 THEN NULL WHEN 1 THEN 'linear' WHEN 2 THEN 'binary' ELSE 'multiple' END"
@@ -273,12 +289,39 @@ FROM facts) """
 HIGH = "(" + " OR ".join(f"contains(time_complexity, '{x}')" for x in cx.HIGH) + ")"
 _class_sql = lambda *c: f"{CLASSES} SELECT l_orderkey, l_linenumber, {', '.join(c)} FROM classes"
 
+#: The report of projects from their `found` patterns and `sizes`.
+RATED = f"""w AS (SELECT project, sum(CASE WHEN category = 'dsa' THEN round(weight * 10)::BIGINT END) / 10.0::DOUBLE AS dsa, sum(CASE WHEN category = 'design' THEN round(weight * 10)::BIGINT END) / 10.0::DOUBLE AS design,
+    count(CASE WHEN category = 'dsa' THEN 1 END)::INTEGER AS dsa_patterns_count, count(CASE WHEN category = 'design' THEN 1 END)::INTEGER AS design_patterns_count FROM found JOIN catalog USING (category, pattern) GROUP BY project),
+  x AS (SELECT project, files_scanned, total_lines, coalesce(dsa_patterns_count, 0)::INTEGER AS dsa_patterns_count, coalesce(design_patterns_count, 0)::INTEGER AS design_patterns_count,
+    {pieces_sql('dsa', DSA_SQL)} AS dsa_score, {pieces_sql('design', DESIGN_SQL)} AS design_score,
+    {BONUS.format(f='files_scanned', n='total_lines')} AS bonus FROM sizes LEFT JOIN w USING (project)),
+  r AS (SELECT *, format('{{:.1f}}', {RAW.format(b='bonus')})::DOUBLE AS rating FROM x)
+  SELECT project, rating, {LABEL_SQL.format(x='rating')} AS label,
+    format('{{:.2f}}', dsa_score)::DOUBLE AS dsa_score, format('{{:.2f}}', design_score)::DOUBLE AS design_score, format('{{:.2f}}', bonus)::DOUBLE AS complexity_bonus, dsa_patterns_count, design_patterns_count, files_scanned, total_lines FROM r"""
+
+#: Facts of CORPUS, taken by hand: project, ordinal, status, lines, imports.
+CORPUS_FACTS = [
+    ("leak", 0, "ok", 1, []), ("leak", 1, "ok", 1, ["fastapi"]), ("leak", 2, "ok", 1, []), ("graph", 0, "ok", 1, []), ("graph", 1, "ok", 2, ["networkx", "collections", "collections.deque", "collections.OrderedDict"]), ("graph", 2, "ok", 3, ["m", "m.y", "m.*"]),
+    ("py2", 0, "syntax_error", 2, []), ("py2", 1, "ok", 1, []), ("algo", 0, "ok", 8, []), ("algo", 1, "ok", 9, []), ("algo", 2, "ok", 8, ["functools", "functools.lru_cache"]), ("algo", 3, "ok", 2, []), ("algo", 4, "ok", 3, []),
+    ("web", 0, "ok", 9, ["logging", "fastapi", "fastapi.FastAPI", "fastapi.Depends"]), ("web", 1, "ok", 4, ["pytest"]), ("empty", 0, "ok", 0, []),
+]
+CORPUS_SQL = f"""{CATALOG}, corpus AS (SELECT * FROM {values(CORPUS, 'project, ordinal, path, content')}), facts AS (SELECT * FROM {values(CORPUS_FACTS, 'project, ordinal, scan_status, line_count, imports')}),
+  words AS (SELECT category, pattern, pattern_ord, lower(unnest(keywords)) AS k FROM catalog), wanted AS (SELECT category, pattern, pattern_ord, lower(unnest(imports)) AS i FROM catalog),
+  named AS (SELECT project, ordinal, lower(unnest(imports)) AS name FROM facts), first_hit AS (SELECT project, category, pattern, pattern_ord, min(ordinal) AS first FROM named, wanted WHERE contains(name, i) GROUP BY ALL),
+  hits AS (SELECT project, ordinal, path, category, pattern, pattern_ord, true AS k, false AS i FROM corpus, words WHERE contains(lower(content), words.k)
+    UNION ALL SELECT c.project, c.ordinal, c.path, h.category, h.pattern, h.pattern_ord, false, true FROM corpus c JOIN first_hit h ON c.project = h.project AND c.ordinal >= h.first),
+  matches AS (SELECT project, ordinal, path, category, pattern, pattern_ord, bool_or(k) AS by_keyword, bool_or(i) AS by_import FROM hits GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "corpus_imports": f"WITH {CORPUS_SQL} SELECT project, ordinal, path, scan_status, line_count::BIGINT AS line_count, array_to_string(imports, ',') AS imports FROM corpus JOIN facts USING (project, ordinal)",
+    "corpus_matches": f"WITH {CORPUS_SQL} SELECT project, ordinal, path, category, pattern, pattern_ord, by_keyword, by_import FROM matches",
+    "corpus_rating": f"WITH {CORPUS_SQL}, found AS (SELECT DISTINCT project, category, pattern FROM matches), sizes AS (SELECT project, count(*) AS files_scanned, sum(line_count)::BIGINT AS total_lines FROM facts GROUP BY project), {RATED}",
     "line_counts": f"SELECT source AS project, doc_id AS ordinal, {LINES.format(c='text')} AS line_count FROM documents",
     "page_line_counts": f"SELECT page_id, {LINES.format(c='html')} AS line_count FROM pages",
     "project_sizes": f"SELECT source AS project, count(*) AS files_scanned, sum({LINES.format(c='text')})::BIGINT AS total_lines FROM documents GROUP BY source",
     "keyword_matches": f"WITH {MATCHES} SELECT project, ordinal, path, category, pattern FROM matches",
-    "pattern_files": f"WITH {MATCHES} SELECT project, category, pattern, min(ordinal) AS first_ordinal, count(*) AS n_files, string_agg(path, ',' ORDER BY ordinal) AS files, any_value(description) AS description FROM matches JOIN catalog USING (category, pattern) GROUP BY project, category, pattern",
+    "pattern_files": f"WITH {MATCHES} SELECT project, category, pattern, row_number() OVER (PARTITION BY project, category, pattern ORDER BY ordinal, path)::INTEGER AS position, path FROM matches",
+    "pattern_totals": f"WITH {MATCHES} SELECT project, category, pattern, min(ordinal) AS first_ordinal, count(*) AS n_files, any_value(description) AS description FROM matches JOIN catalog USING (category, pattern) GROUP BY project, category, pattern",
     "pattern_top3": f"WITH {MATCHES} SELECT project, category, pattern, array_to_string(list(path ORDER BY ordinal)[1:3], ',') AS files FROM matches GROUP BY project, category, pattern",
     "pattern_counts": f"WITH {MATCHES} SELECT project, category, count(DISTINCT pattern) AS n_patterns FROM matches GROUP BY project, category",
     "import_matches_cumulative": f"WITH {HITS} SELECT project, ordinal, category, pattern FROM (SELECT *, bool_or(hit) OVER (PARTITION BY project, category, pattern ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS now FROM hits) WHERE now",
@@ -289,20 +332,22 @@ ORACLE_SQL = {
               count(CASE WHEN category = 'dsa' THEN 1 END)::INTEGER AS dsa_patterns_count, count(CASE WHEN category = 'design' THEN 1 END)::INTEGER AS design_patterns_count FROM found JOIN catalog USING (category, pattern) GROUP BY project),
         s AS (SELECT source AS project, count(*) AS files_scanned, sum({LINES.format(c='text')})::BIGINT AS total_lines FROM documents GROUP BY source),
         x AS (SELECT project, dsa_weight_tenths, design_weight_tenths, coalesce(dsa_patterns_count, 0)::INTEGER AS dsa_patterns_count, coalesce(design_patterns_count, 0)::INTEGER AS design_patterns_count, files_scanned, total_lines,
-              {pieces_sql('(dsa_weight_tenths / 10.0)::DOUBLE', score.DSA_PIECES)} AS dsa_score, {pieces_sql('(design_weight_tenths / 10.0)::DOUBLE', score.DESIGN_PIECES)} AS design_score, {BONUS.format(f='files_scanned', n='total_lines')} AS bonus FROM s LEFT JOIN w USING (project))
+              {pieces_sql('(dsa_weight_tenths / 10.0)::DOUBLE', DSA_SQL)} AS dsa_score, {pieces_sql('(design_weight_tenths / 10.0)::DOUBLE', DESIGN_SQL)} AS design_score, {BONUS.format(f='files_scanned', n='total_lines')} AS bonus FROM s LEFT JOIN w USING (project))
         SELECT project, dsa_weight_tenths, design_weight_tenths, round(dsa_score, 6) AS dsa_score, round(design_score, 6) AS design_score, round(bonus, 6) AS complexity_bonus, round({RAW.format(b='bonus')}, 6) AS raw_rating, dsa_patterns_count, design_patterns_count, files_scanned, total_lines FROM x""",
     "score_grid": f"""WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE ((o_orderkey * 7) % 512 / 10.0)::DOUBLE END AS w, o_custkey % 40 AS f, (o_custkey * 13) % 4000 AS n FROM orders),
-        x AS (SELECT *, {pieces_sql('w', score.DSA_PIECES)} AS dsa_score, {pieces_sql('w', score.DESIGN_PIECES)} AS design_score, {BONUS.format(f='f', n='n')} AS bonus FROM g),
+        x AS (SELECT *, {pieces_sql('w', DSA_SQL)} AS dsa_score, {pieces_sql('w', DESIGN_SQL)} AS design_score, {BONUS.format(f='f', n='n')} AS bonus FROM g),
         y AS (SELECT *, round({RAW.format(b='bonus')}, 6) AS raw FROM x)
-        SELECT o_orderkey, round(dsa_score, 6) AS dsa_score, round(design_score, 6) AS design_score, round(bonus, 6) AS size_bonus, raw AS raw_rating, {label_sql('raw')} AS label, CASE WHEN raw < 4 THEN 'red' WHEN raw < 7 THEN 'yellow' ELSE 'green' END AS color FROM y""",
+        SELECT o_orderkey, round(dsa_score, 6) AS dsa_score, round(design_score, 6) AS design_score, round(bonus, 6) AS size_bonus, raw AS raw_rating, {LABEL_SQL.format(x='raw')} AS label, CASE WHEN raw < 4 THEN 'red' WHEN raw < 7 THEN 'yellow' ELSE 'green' END AS color FROM y""",
     "time_class": _class_sql("time_complexity", "reason"), "space_class": _class_sql("space_complexity"), "confidence": _class_sql("confidence"), "dominant_operation": _class_sql("dominant_operation"), "recursion_type": _class_sql("recursion_type"), "loop_depth_class": _class_sql("loop_depth_class"),
     "time_distribution": f"{CLASSES} SELECT 'p' AS project, time_complexity, count(*) AS n_functions FROM classes GROUP BY time_complexity",
     "space_distribution": f"{CLASSES} SELECT 'p' AS project, space_complexity, count(*) AS n_functions FROM classes GROUP BY space_complexity",
     "high_complexity": f"{CLASSES} SELECT l_orderkey, l_linenumber, time_complexity FROM classes WHERE {HIGH}",
     "high_top10": f"{CLASSES} SELECT l_orderkey, l_linenumber, time_complexity FROM classes WHERE {HIGH} ORDER BY l_orderkey, l_linenumber LIMIT 10",
-    "average_confidence": f"{CLASSES} SELECT 'p' AS project, count(*) AS total_functions, sum(round(confidence * 100)::BIGINT)::BIGINT AS summed_percent FROM classes",
+    "average_confidence": f"{CLASSES} SELECT 'p' AS project, count(*) AS total_functions, format('{{:.2f}}', sum(round(confidence * 100)) / 100 / count(*))::DOUBLE AS average_confidence, count(CASE WHEN {HIGH} THEN 1 END) AS high_complexity_count FROM classes",
     "path_scope": f"""WITH p AS (SELECT path, string_split(path, '/')[:-2] AS folders FROM {values([(p,) for p in PATHS], 'path')}),
         s AS (SELECT *, suffix(path, '.py') AND NOT list_has_any(folders, {quoted(sorted(SKIPPED))}) AS in_scan FROM p)
         SELECT path, in_scan, in_scan AND NOT list_has_any(folders, ['.tox', '.eggs']) AS in_complexity FROM s""",
-    "rounding": "SELECT * FROM (VALUES (5.25::DOUBLE, 1, 5.2::DOUBLE), (4.35::DOUBLE, 1, 4.3::DOUBLE), (0.725::DOUBLE, 2, 0.72::DOUBLE), (2.675::DOUBLE, 2, 2.67::DOUBLE)) AS t(x, digits, rounded)",
+    "rounding": "SELECT l_orderkey, l_linenumber, format('{:.1f}', x)::DOUBLE AS tenths, format('{:.2f}', x)::DOUBLE AS hundredths FROM (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber)::DOUBLE / 40 AS x FROM lineitem)",
+    "rating_by_source": f"WITH {CATALOG}, words AS (SELECT category, pattern, lower(unnest(keywords)) AS k FROM catalog), files AS ({DOCUMENT_FILES}), found AS (SELECT DISTINCT project, category, pattern FROM files, words WHERE contains(lower(content), k)), sizes AS (SELECT source AS project, count(*) AS files_scanned, sum({LINES.format(c='text')})::BIGINT AS total_lines FROM documents GROUP BY source), {RATED}",
+    **generated.oracle_sql(CATALOG, RATED),
 }

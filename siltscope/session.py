@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,6 +35,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, str(p.relative_to(_PACKAGE.parent)))
     spark.sparkContext.addPyFile(path)
+    atexit.register(shutil.rmtree, os.path.dirname(path), True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = "file://" + tempfile.mkdtemp(prefix="siltscope-shared-")
@@ -62,11 +66,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session may have been stopped before the interpreter ends
         if path.startswith("file:"):
-            import shutil
-
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its scan has fewer partitions than that, as a table of one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

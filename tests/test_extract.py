@@ -131,3 +131,14 @@ def test_summary(spark):
     assert (got["p"].total_functions, got["p"].average_confidence, got["p"].high_complexity_count) == (1, 0.6, 1)
     assert got["p"].high_complexity_functions[0].name == "f" and len(got["p"].high_complexity_functions[0].reasoning) == 3
     assert got["q"].total_functions == got["none"].total_functions == 0
+
+
+def test_one_function(spark):
+    from siltscope.operators.extract import analyze_function
+
+    text = "def a(xs: list):\n    return sorted(xs)\n\ndef b(n):\n    return b(n - 1) + b(n - 2)\n"
+    assert analyze_function(text)["time_complexity"] == "O(n log n)"
+    got = analyze_function(text, "b", spark)
+    assert (got["time_complexity"], got["recursion_type"], got["line"], round(got["confidence"], 9)) == ("O(2^n)", "binary", 4, 0.5)
+    with pytest.raises(ValueError):
+        analyze_function("x = 1", spark=spark)
