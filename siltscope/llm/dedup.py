@@ -332,7 +332,7 @@ def repeats_of(strips: DataFrame, width: int, strip: int, most: int, shard_symbo
         strips, strip = cut(halved(hot.select(*strips.columns), strip), "halves"), strip // 2
 
 
-def repeats(texts: DataFrame, width: int = WIDTH, strip: int = STRIP, most: int = 100_000, shard_symbols: int = 1 << 28, memory: int = 48 << 20) -> DataFrame:
+def repeats(texts: DataFrame, width: int = WIDTH, strip: int = STRIP, most: int = 100_000, shard_symbols: int = 1 << 28, memory: int = 96 << 20) -> DataFrame:
     """digest (SHA-256 of the text) and runs (array of struct first, last: starts of repeated windows) of texts with repeats.
 
     texts: a column text without nulls, a row for each document. strip: a power of two; a fourth of the starts around an anchor.

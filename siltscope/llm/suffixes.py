@@ -2,7 +2,7 @@
 
 A suffix is small (S) or large (L) by whether it is below or above the one after it; an S suffix with an L before it is a seed. The
 seeds' substrings, each up to the next seed, are sorted by inducing from their first symbols, and named; if names repeat, the
-string of names is sorted by the same function, recursively. From the sorted seeds an ascending pass over a priority queue yields
+string of names is sorted by the same function, recursively, until it fits in memory. From the sorted seeds an ascending pass over a priority queue yields
 all L suffixes (the one taken hands in the suffix before it), and a descending pass all S suffixes.
 
 What a queue holds are tuples: the symbol (its priority), the suffix's place, the symbols before it packed into a word, and the
@@ -633,8 +633,33 @@ class Inducing:
         return val
 
 
+def _order_in_memory(store: Store, level: Level, emit: Emit) -> None:
+    """The same for a string of names that fits in a span: sorted by prefixes of doubled lengths, up to cap symbols."""
+    n, h = level.n, 1
+    rank = np.array(level.t, np.int64)
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - h)] = rank[h:] + 1
+        key = rank * (int(rank.max()) + 2) + ahead
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(n, bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        rank[order] = np.cumsum(fresh) - 1
+        h *= 2
+        if fresh.all() or h >= level.cap:
+            break
+    order = order[::-1]
+    for i in range(0, n, store.chunk):
+        pos = order[i : i + store.chunk]
+        a = level.common(order[max(0, i - 1) : i + len(pos) - 1], pos if i else pos[1:])
+        emit(pos, (a if i else np.append(0, a)).astype(np.uint8), np.zeros(len(pos), bool))
+
+
 def _order(store: Store, level: Level, emit: Emit) -> None:
     """emit all suffixes of a level from the last to the first, with their common prefixes."""
+    if level.home is not None and level.n <= store.span:
+        _order_in_memory(store, level, emit)
+        return
     chunk = store.chunk
     m = level.count()
     seeds = level.seeds_by_symbol(m)

@@ -288,21 +288,78 @@ def test_components_of_paths_and_stars(spark):
 # suffix arrays
 
 
-def test_suffix_arrays():
+def order_is_right(t, sa, lcp, cap):
+    x = t.tolist()
+    want = sorted(x[i : i + cap] for i in range(len(x)))
+    same = lambda a, b: next((c for c in range(cap) if x[a + c : a + c + 1] != x[b + c : b + c + 1] or max(a, b) + c >= len(x)), cap)
+    return sorted(sa.tolist()) == list(range(len(x))) and [x[i : i + cap] for i in sa] == want and lcp.tolist() == [0] * bool(x) + [same(a, b) for a, b in zip(sa, sa[1:])]
+
+
+def test_suffix_orders():
+    """With much memory; with so little that every string of names is recursed on, and all queues have many spans."""
     rng = np.random.default_rng(5)
-    for in_memory in (1 << 20, 100):  # the second time in files
-        with suffixes.Store(in_memory) as store:
-            for k in range(400):
-                t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 70)))
+    for memory in (1 << 22, 4096, 1):
+        with suffixes.Store(memory) as store:
+            if memory == 1:
+                store.span = store.chunk = 8
+            for k in range(150):
+                t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 90))).astype(np.uint8)
                 t = np.tile(t, 3) if k % 3 == 0 else t
-                sa, lcp = suffixes.sort_suffixes(t, store)
-                x = t.tolist()
-                want = sorted(range(len(x)), key=lambda i: x[i:])
-                common = [0] + [next((c for c in range(len(x)) if x[a + c : a + c + 1] != x[b + c : b + c + 1] or a + c >= len(x)), 0) for a, b in zip(want, want[1:])]
-                assert list(sa) == want and list(lcp) == common[: len(x)]
+                t = np.concatenate([t, np.full(int(rng.integers(0, 300)), 2, np.uint8), t]) if k % 7 == 0 else t
+                cap = int(rng.choice([3, 10, 200]))
+                assert order_is_right(t, *suffixes.sort_suffixes(t, store, cap), cap), (memory, k)
         assert store.folder is None or not __import__("os").path.exists(store.folder)
 
 
+def test_shards_far_larger_than_memory_are_sorted_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    text = np.frombuffer(" ".join(r.choice(words) for _ in range(110_000)).encode(), np.uint8)  # its tuples take some 20 bytes for each of these
+    far = []
+    tracemalloc.start()
+    try:
+        with suffixes.Store(1 << 20) as store:
+            suffixes.order_suffixes(text, store, 20, lambda pos, a, _: far.append(int((a >= 20).sum())))
+            held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    data = text.tobytes()
+    count = Counter(data[i : i + 20] for i in range(len(data) - 19))
+    assert len(data) > 600_000 and held < 3 << 20 and sum(far) == sum(n - 1 for n in count.values())
+    began = time.time()
+    with suffixes.Store(1 << 22) as store:
+        for t in (np.full(300_000, 97, np.uint8), np.tile(np.frombuffer(b"abc", np.uint8), 100_000)):
+            sa, lcp = suffixes.sort_suffixes(t, store, 200)
+            assert len(sa) == 300_000 and int((lcp >= 200).sum()) >= 299_790
+    assert time.time() - began < 30
+
+
+def test_weights_stand_for_bytes():
+    rng = np.random.default_rng(3)
+    for memory in (1 << 22, 4096):
+        for _ in range(60):
+            weight = rng.integers(1, 60, 7).astype(np.uint8)
+            t = np.tile(rng.integers(0, 7, int(rng.integers(1, 50))).astype(np.int32), 2)
+            got = {}
+            last = [None]
+
+            def emit(pos, a, _):
+                for p, v in zip(pos.tolist(), a.tolist()):
+                    got[p] = (last[0], v)
+                    last[0] = p
+
+            with suffixes.Store(memory) as store:
+                suffixes.order_suffixes(t, store, 200, emit, weight)
+            x = t.tolist()
+            for p, (q, v) in got.items():
+                if q is not None:
+                    n = next(c for c in range(len(x) + 1) if max(p, q) + c >= len(x) or x[p + c] != x[q + c])
+                    assert v == min(200, sum(int(weight[x[p + c]]) for c in range(n)))
+
+
 def brute_removed(texts, width):
     count = Counter(d[i : i + width] for d in texts for i in range(len(d) - width + 1))
     out = []
@@ -316,14 +373,14 @@ def brute_removed(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_repeats(docs, hot):
-    """hot=1: all keys with variants are counted by digests."""
+@pytest.mark.parametrize("most", [1000, 1])
+def test_repeats(docs, most):
+    """most=1: all cores with variants are halved down to single windows."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    new = {bytes(r.digest): r for r in dedup.strip(texts, dedup.repeats(texts, hot=hot, shard_bytes=3000), 200, False).collect()}
+    new = {bytes(r.digest): r for r in dedup.strip_texts(texts, dedup.repeats(texts, most=most, shard_symbols=3000, memory=1 << 20), 200, False).collect()}
     all_texts = [plain(t).encode() for _, t in TEXTS]
     for d, (removed, spans, sha) in zip(all_texts, brute_removed(all_texts, 200)):
-        r = new.get(hashlib.md5(d).digest())
+        r = new.get(hashlib.sha256(d).digest())
         assert (removed, spans, sha) == ((r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) if r else (0, 0, hashlib.sha256(d).hexdigest()))
 
 
@@ -338,24 +395,54 @@ def test_op2_query(spark, docs, none, tmp_path):
 
 def test_segments_cover_all_starts_and_meet():
     rng = np.random.default_rng(2)
-    for _ in range(100):
-        d = bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 700))).astype(np.uint8))
-        key, first, last, _ = dedup.segments(d, 50, 20)
-        if len(d) < 50:
-            assert not len(key)
-            continue
-        assert first[0] == 0 and last[-1] == len(d) - 50 and (first[1:] == last[:-1] + 1).all()
-        of = {}
-        for k, a, b in zip(key.tolist(), first, last):
-            for i in range(a, b + 1):
-                assert of.setdefault(d[i : i + 50], k) == k
+    for block in (1 << 20, 37):
+        for _ in range(100):
+            d = bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 700))).astype(np.uint8))
+            got = [list(map(int, x)) for part in dedup.segments(d, 50, 19, block) for x in zip(*part)]
+            starts = [i for _, _, a, b in got for i in range(a, b + 1)]
+            assert starts == list(range(max(0, len(d) - 49)))
+            of = {}
+            for key, anchor, a, b in got:
+                for i in range(a, b + 1):
+                    assert 0 <= anchor - i < 32 and of.setdefault(d[i : i + 50], (key, anchor - i)) == (key, anchor - i)
+
+
+def test_runs_of_one_character_are_one_entry():
+    import time
+
+    began = time.time()
+    entries = 0
+    for data in (b"a" * 10_000_000, b"ab" * 2_000_000):
+        for key, _, first, last in dedup.segments(data):
+            stay, n = dedup.merged(data, key, first, last, 200)
+            entries += int(stay.sum())
+            assert int(n[stay].sum()) == len(key)
+    assert entries < 200 and time.time() - began < 30
+
+
+def test_repeats_of_random_periodic_texts(spark):
+    r = random.Random(9)
+    for k in range(3):
+        texts = []
+        for _ in range(12):
+            unit = "".join(r.choices("abc", k=r.randint(1, 40)))
+            texts.append("".join(r.choices("xyz", k=r.randint(0, 90))) + unit * r.randint(1, 900 // len(unit)) + "".join(r.choices("pq", k=r.randint(0, 90))))
+        texts += ["z" * 5 + texts[0][30:400], texts[1][:300]]
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+        new = {bytes(x.digest): x for x in dedup.strip_texts(df, dedup.repeats(df, most=[1000, 3, 1][k]), 200, False).collect()}
+        data = [t.encode() for t in texts]
+        for d, (removed, spans, sha) in zip(data, brute_removed(data, 200)):
+            x = new.get(hashlib.sha256(d).digest())
+            assert (removed, spans, sha) == ((x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) if x else (0, 0, hashlib.sha256(d).hexdigest()))
 
 
 def test_remove_repeats_keeps_characters(spark, tmp_path):
     # the windows of both texts end inside the same first byte of two different characters
     a, b = "x" * 5 + "abcdefghij" * 30 + "é" + "1" * 9, "y" * 7 + "abcdefghij" * 30 + "è" + "2" * 9
-    df = spark.createDataFrame([(1, a, 1), (2, b, 2), (3, None, 3)], "doc_id long, text string, text2 int")
-    got = {r.doc_id: r.text for r in dedup.remove_repeats(df).collect()}
+    df = spark.createDataFrame([(1, a, 1, "x", "y"), (2, b, 2, "x", "y"), (3, None, 3, "x", "y")], "doc_id long, text string, text2 int, digest string, kept string")
+    out = dedup.remove_repeats(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: "x" * 5 + "é" + "1" * 9, 2: "y" * 7 + "è" + "2" * 9, 3: None}
 
 
