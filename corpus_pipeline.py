@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of documents. run() writes each stage's result to the shared folder and reads it
 again. Where a stage changes texts, n_chars is counted anew.
+
+Defined cases, for every stage: a null or empty text fails the quality rules and goes in the first stage; later stages given one keep it as it is, and
+packing makes it a document of the end id alone. A null doc_id stays null; of near copies the one with the smallest doc_id stays,
+null last. Repeated rows are copies like any others: one stays. Ties go as each operator's docstring says. Texts of any length are
+worked on whole. Other columns than doc_id and text are carried through, whatever their names, and may be absent; packing
+alone returns its own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: personal data becomes pseudonyms."""
-    return counted(mask(docs, EXAMPLE_KEY, spans="__spans"), docs)
+    return counted(mask(docs, EXAMPLE_KEY), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("pii", pii), ("packing", packing)]
-#: No stage but the first's base rules can be stated in SQL; tests hold the pipeline against a brute-force version.
+#: No stage but the first's base rules can be stated in SQL; tests/llm/test_pipeline.py has a brute-force version of the stages.
 ORACLE_SQL = None
 
 
