@@ -10,9 +10,11 @@ def prose(n, seed):
 
 
 PASSAGE = prose(60, "passage")
+LONG = prose(9000, "long")
 _base = prose(300, 1)
 _texts = {
     1: _base, 2: _base, 3: _base.replace(_base.split()[200], "changed", 1), 4: "too short", 5: "the same words again and again\n" * 30, 6: None,
-    10: prose(80, 10) + "\n" + PASSAGE + "\n" + prose(80, 11), 11: prose(70, 12) + "\n" + PASSAGE + "\n" + prose(90, 13), 20: prose(120, 20), 30: prose(60, 30) + " jo.doe@mail.example.com " + prose(30, 31),
+    10: prose(80, 10) + "\n" + PASSAGE + "\n" + prose(80, 11), 11: prose(70, 12) + "\n" + PASSAGE + "\n" + prose(90, 13), 20: prose(120, 20), 40: LONG, 30: prose(60, 30) + " jo.doe@mail.example.com " + prose(30, 31),
 }
-TABLE = [(i, t, "en", "s", None if t is None else len(t)) for i, t in _texts.items()]
+_rows = [*_texts.items(), (20, _texts[20]), (None, prose(100, "no id")), (None, None), (7, "")]
+TABLE = [(i, t, "en", "s", None if t is None else len(t)) for i, t in _rows]
