@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from siltscope.plans import generated
 from siltscope.plans.analyzer import Analysis
 from siltscope.session import cut, spread
 from siltscope.sources.catalog import catalog, entries
-from siltscope.sources.listing import SKIPPED, files_from, in_complexity_scope
+from siltscope.sources.listing import files_from, in_complexity_scope, list_python_files
 
 #: A small corpus of Python sources: project, ordinal, path, content.
 CORPUS = [
@@ -179,8 +182,13 @@ def high_top10(spark, sf_dir):
 
 
 def path_scope(spark, sf_dir):
-    kept = lambda p: p.endswith(".py") and not SKIPPED.intersection(p.split("/")[:-1])
-    return spark.createDataFrame([(p, kept(p), kept(p) and in_complexity_scope(p)) for p in PATHS], "path string, in_scan boolean, in_complexity boolean")
+    """The lister on a folder with files at PATHS, beside all of these."""
+    with tempfile.TemporaryDirectory() as root:
+        for p in PATHS:
+            os.makedirs(os.path.dirname(os.path.join(root, p)), exist_ok=True)
+            open(os.path.join(root, p), "w").close()
+        found = set(list_python_files(root))
+    return spark.createDataFrame([(p, p in found, p in found and in_complexity_scope(p)) for p in PATHS], "path string, in_scan boolean, in_complexity boolean")
 
 
 def corpus_functions(spark, sf_dir):
@@ -345,7 +353,7 @@ ORACLE_SQL = {
     "high_top10": f"{CLASSES} SELECT l_orderkey, l_linenumber, time_complexity FROM classes WHERE {HIGH} ORDER BY l_orderkey, l_linenumber LIMIT 10",
     "average_confidence": f"{CLASSES} SELECT 'p' AS project, count(*) AS total_functions, format('{{:.2f}}', sum(round(confidence * 100)) / 100 / count(*))::DOUBLE AS average_confidence, count(CASE WHEN {HIGH} THEN 1 END) AS high_complexity_count FROM classes",
     "path_scope": f"""WITH p AS (SELECT path, string_split(path, '/')[:-2] AS folders FROM {values([(p,) for p in PATHS], 'path')}),
-        s AS (SELECT *, suffix(path, '.py') AND NOT list_has_any(folders, {quoted(sorted(SKIPPED))}) AS in_scan FROM p)
+        s AS (SELECT *, suffix(path, '.py') AND NOT list_has_any(folders, ['.git', '__pycache__', '.venv', 'venv', 'node_modules', '.pytest_cache', 'dist', 'build']) AS in_scan FROM p)
         SELECT path, in_scan, in_scan AND NOT list_has_any(folders, ['.tox', '.eggs']) AS in_complexity FROM s""",
     "rounding": "SELECT l_orderkey, l_linenumber, format('{:.1f}', x)::DOUBLE AS tenths, format('{:.2f}', x)::DOUBLE AS hundredths FROM (SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber)::DOUBLE / 40 AS x FROM lineitem)",
     "rating_by_source": f"WITH {CATALOG}, words AS (SELECT category, pattern, lower(unnest(keywords)) AS k FROM catalog), files AS ({DOCUMENT_FILES}), found AS (SELECT DISTINCT project, category, pattern FROM files, words WHERE contains(lower(content), k)), sizes AS (SELECT source AS project, count(*) AS files_scanned, sum({LINES.format(c='text')})::BIGINT AS total_lines FROM documents GROUP BY source), {RATED}",

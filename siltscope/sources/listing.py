@@ -1,7 +1,7 @@
 """Python files of a project folder as rows: project, ordinal, path, content, in_complexity_scope, read_error.
 
-Spark's own file sources skip names that begin with "_" or "."; these hold much of a Python project, so the driver lists (names
-only) and the workers read.
+Spark's own file sources skip names that begin with "_" or "."; these hold much of a Python project, so tasks list the folders, a
+project in one, and pass names on as they find them; after an exchange others read the files. The driver sees only the roots.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ def list_python_files(root: str, order: str = "sorted") -> list[str]:
     """
     if not os.path.exists(root):
         raise FileNotFoundError(f"Path '{root}' does not exist.")
-    root, out = os.path.realpath(root), []
+    return list(walk_python_files(os.path.realpath(root), order))
+
+
+def walk_python_files(root: str, order: str) -> Iterator[str]:
     for folder, inner, names in os.walk(root):
         inner[:] = [d for d in inner if d not in SKIPPED]
         if order == "sorted":
             inner.sort()
             names.sort()
-        out += [os.path.relpath(os.path.join(folder, n), root) for n in names if n.endswith(".py")]
-    return out
+        yield from (os.path.relpath(os.path.join(folder, n), root) for n in names if n.endswith(".py"))
 
 
 def in_complexity_scope(path: str) -> bool:
@@ -52,8 +54,26 @@ def read_text(path: str) -> tuple[str | None, str | None]:
 
 def source_files(spark: SparkSession, roots: str | list[str], order: str = "sorted", files_per_task: int = 500) -> DataFrame:
     """The files of one or more project folders; the folders must be mounted where the workers run. project is the resolved path."""
+    from pyspark.sql import functions as F
+
     ship(spark)
-    rows = [(os.path.realpath(r), i, p) for r in ([roots] if isinstance(roots, str) else roots) for i, p in enumerate(list_python_files(r, order))]
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    for r in roots:
+        if not os.path.exists(r):
+            raise FileNotFoundError(f"Path '{r}' does not exist.")
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda root, start, paths: pa.RecordBatch.from_pydict({"project": pa.array([root] * len(paths)), "ordinal": pa.array(range(start, start + len(paths)), pa.int64()), "path": pa.array(paths, pa.string())})
+        for b in batches:
+            for root in b.column("project").to_pylist():
+                start, paths = 0, []
+                for p in walk_python_files(root, order):
+                    paths.append(p)
+                    if len(paths) == 1000:
+                        yield row(root, start, paths)
+                        start, paths = start + 1000, []
+                if paths:
+                    yield row(root, start, paths)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,8 +83,9 @@ def source_files(spark: SparkSession, roots: str | list[str], order: str = "sort
                 scope = [in_complexity_scope(p) for p in part.column("path").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("project"), part.column("ordinal"), part.column("path"), pa.array([c for c, _ in got], pa.string()), pa.array(scope), pa.array([e for _, e in got], pa.string())], names=[f.split()[0] for f in FILES.split(", ")])
 
-    listed = spark.createDataFrame(rows, "project string, ordinal long, path string")
-    return listed.repartition(max(1, -(-len(rows) // files_per_task))).mapInArrow(read, FILES)
+    projects = spark.createDataFrame([(os.path.realpath(r),) for r in roots], "project string").repartition(len(roots) or 1)
+    listed = projects.mapInArrow(listing, "project string, ordinal long, path string")
+    return listed.repartition("project", F.floor(F.col("ordinal") / files_per_task)).mapInArrow(read, FILES)
 
 
 def files_from(df: DataFrame) -> DataFrame:
