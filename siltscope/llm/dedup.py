@@ -423,3 +423,19 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     out = keyed.join(new, "digest", "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"))
+
+
+#: DuckDB SQL of op2_suffix_dedup: all windows of 200 bytes by their digests.
+OP2_SQL = """
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT uid, doc_id, h, length(h) // 2 AS n FROM t),
+w AS (SELECT uid, i, md5_number(substring(h, 2 * i + 1, 400)) AS g FROM (SELECT uid, h, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+many AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT uid, i FROM w SEMI JOIN many USING (g)),
+edges AS (SELECT *, i - lag(i) OVER (PARTITION BY uid ORDER BY i) AS gap FROM starts),
+spans AS (SELECT uid, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY i) AS run FROM edges) GROUP BY uid, run),
+cuts AS (SELECT uid, s, e, coalesce(lag(e) OVER (PARTITION BY uid ORDER BY s), 0) AS before, row_number() OVER (PARTITION BY uid ORDER BY s DESC) = 1 AS final FROM spans),
+kept AS (SELECT c.uid, sum(e - s)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+    string_agg(substring(h, 2 * before + 1, 2 * (s - before)) || CASE WHEN final THEN substring(h, 2 * e + 1) ELSE '' END, '' ORDER BY s) AS k FROM cuts c JOIN d USING (uid) GROUP BY c.uid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (uid)
+"""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from siltscope.llm.bpe import op10_bpe
-from siltscope.llm.dedup import op2_suffix_dedup
+from siltscope.llm.dedup import OP2_SQL, op2_suffix_dedup
 from siltscope.llm.licenses import op1_licenses
 from siltscope.llm.packing import op8_best_fit
 from siltscope.llm.pii import op4_pii
-from siltscope.llm.quality import op9_quality_rules
+from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 from siltscope.llm.simhash import op5_simhash
 from siltscope.llm.token_counts import op7_token_counts
 from siltscope.llm.token_files import op3_token_files
@@ -25,5 +25,5 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
-#: Ids, fingerprints, packings and suffix arrays can't be stated in SQL; the tests hold those queries against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_topk": OP6_SQL}
+#: Licenses, pseudonyms, token ids, fingerprints and packings can't be stated in SQL; the tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op6_topk": OP6_SQL, "op9_quality_rules": OP9_SQL}

@@ -211,3 +211,26 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = quality(docs)
     return out.select("doc_id", *[F.col(f"q.{n}").alias(n) for n in [*NAMES, "base_failed", "kept"]])
+
+
+#: DuckDB SQL of op9_quality_rules. Repeats are runs of equal 3-word windows at one distance; those of 8 words and more are united.
+OP9_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS x FROM documents),
+d AS (SELECT uid, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM t),
+p AS (SELECT uid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+c AS (SELECT uid, i, dense_rank() OVER (ORDER BY w) AS w FROM p),
+three AS (SELECT uid, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM c WINDOW o AS (PARTITION BY uid ORDER BY i)),
+again AS (SELECT uid, i, a, b, c FROM (SELECT *, count(*) OVER (PARTITION BY uid, a, b, c) AS n FROM three WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT uid, count(DISTINCT j) AS n_repeat_words FROM (SELECT uid, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY uid),
+named AS (SELECT uid, i, dense_rank() OVER (ORDER BY uid, a, b, c) AS g FROM again),
+pairs AS (SELECT x.uid, x.i, y.i - x.i AS k FROM named x JOIN named y ON x.uid = y.uid AND x.g = y.g AND x.i < y.i),
+runs AS (SELECT uid, k, min(i) AS first, max(i) + 2 AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY uid, k ORDER BY i) AS run FROM pairs) GROUP BY uid, k, run),
+longest AS (SELECT uid, max(last - first + 1) AS longest_repeat FROM runs GROUP BY uid),
+spans AS (SELECT uid, first AS s, last AS e FROM runs WHERE last - first >= 7 UNION ALL SELECT uid, first + k, last + k FROM runs WHERE last - first >= 7),
+covered AS (SELECT uid, sum(e - greatest(s, coalesce(before, -1) + 1) + 1)::BIGINT AS covered_words FROM (SELECT *, max(e) OVER (PARTITION BY uid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans) WHERE e > coalesce(before, -1) GROUP BY uid),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(covered_words, 0)::BIGINT AS covered_words, coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
+  FROM (SELECT *, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d) LEFT JOIN rep USING (uid) LEFT JOIN covered USING (uid) LEFT JOIN longest USING (uid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.45::DOUBLE * n_words AND longest_repeat <= 100 AS kept FROM m
+"""

@@ -59,6 +59,11 @@ def merge_ranks(said: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in k): i for k, i in vocab.items() if k not in added}
 
 
+def harmless(normalizer: dict) -> bool:
+    """Whether a normalizer leaves words as latin_pieces takes them: it composes, lower-cases, or makes white space one blank."""
+    return normalizer["type"] in ("NFC", "Lowercase") or normalizer == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+
+
 class Memo(dict):
     """word -> value; emptied when it has `most` words, so that its memory is bounded."""
 
@@ -92,7 +97,7 @@ class Encoder:
                 import tiktoken
 
                 self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-            elif parts[:1] == ["Split"] and pre["pretokenizers"][0]["invert"] and pre["pretokenizers"][0]["behavior"] == "Removed" and pre["pretokenizers"][0]["pattern"] == {"Regex": WORD_LEVEL} and {x["type"] for x in (norm or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"} and not said["post_processor"]:
+            elif parts[:1] == ["Split"] and pre["pretokenizers"][0]["invert"] and pre["pretokenizers"][0]["behavior"] == "Removed" and pre["pretokenizers"][0]["pattern"] == {"Regex": WORD_LEVEL} and all(map(harmless, (norm or {}).get("normalizers", []))) and not said["post_processor"]:
                 self.split = BARE
                 letters, latin, tokenize = byte_letters(), re.compile(LATIN), self.lib.model.tokenize
                 self.word = lambda w: [t.id for t in tokenize("".join([letters[b] for b in w.lower().encode()]))] if latin.fullmatch(w) else self.lib.encode(w, add_special_tokens=False).ids
