@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siltscope.llm.common import documents, free_names, id_and_text, slices
 from siltscope.llm.suffixes import Store, order_suffixes, run_ends
-from siltscope.session import cut, ship
+from siltscope.session import cut, discard, ship
 
 WIDTH, STRIP = 200, 32
 GRAM = WIDTH - 4 * STRIP + 1  # an anchor is at most 127 bytes into its window: four strips
@@ -344,12 +344,14 @@ def repeats(texts: DataFrame, width: int = WIDTH, strip: int = STRIP, most: int
     each = listed.select("row", F.explode(F.arrays_zip(*SEGMENT, "place", "n")).alias("x")).select("row", "x.*")
     again = cut(each.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key"), "repeated-keys")
     kept = cut(each.join(again, "key"), "repeated-segments")
+    rows = cut(listed.select("row", "digest"), "rows")
+    discard(listed)  # most of it are keys that occur once
     distinct = cut(kept.groupBy(*SEGMENT).agg(F.sum("n").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")), "distinct-segments")
     keys = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least"))
     keys = cut(keys.where("variants > 1 and least = 1").select("key"), "open-keys")
     todo = distinct.join(keys, "key").select(*SEGMENT, F.least("n", F.lit(2)).cast("int").alias("n"), "row", "place")
     wanted = todo.groupBy("row").agg(F.collect_list(F.struct(*SEGMENT, "n", "place")).alias("want"))
-    wanted = wanted.join(listed.select("row", "digest"), "row").groupBy("digest").agg(F.flatten(F.collect_list("want")).alias("want"))
+    wanted = wanted.join(rows, "row").groupBy("digest").agg(F.flatten(F.collect_list("want")).alias("want"))
     strips = cut(strips_of(distinct_texts(keyed).join(wanted, "digest").select("text", "want"), width, strip), "strips")
     found = repeats_of(strips, width, strip, most, shard_symbols, memory)
     run = F.struct("first", "last")
@@ -362,7 +364,7 @@ def repeats(texts: DataFrame, width: int = WIDTH, strip: int = STRIP, most: int
     back = kept.join(decided, SEGMENT).select("row", F.coalesce(moved, all_of).alias("runs"))
     by_row = back.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     # copies of a text have the same runs: one row stands for all
-    return by_row.join(listed.select("row", "digest"), "row").groupBy("digest").agg(F.first("runs").alias("runs"))
+    return by_row.join(rows, "row").groupBy("digest").agg(F.first("runs").alias("runs"))
 
 
 def distinct_texts(keyed: DataFrame, most: int = 1_000_000) -> DataFrame:
