@@ -59,16 +59,16 @@ def contract(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node -> root for every node of edges (u, v: long, no nulls): the smallest node that it reaches.
 
-    A step is a grouped minimum and a join; a star's hub is a hot key of that join only, and its side is split by adaptive
-    execution. Rounds grow with the logarithm of the longest path; the table of each round is written to the shared folder.
+    A step is a grouped minimum and a join; a star's hub is a hot key of that join only, both of whose sides are plain tables, so that
+    adaptive execution can split it. Rounds grow with the logarithm of the longest path; the table of each round is written to the shared folder.
     """
     now = cut(contract(edges.where("u <> v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = cut(small, "edges")
         # settled when every node has one edge and no root is a child
