@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.session import ship
+from siltscope.session import ship, spread
 
 #: Words of the contracts: runs of anything but space, \t, \n, \v, \f, \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    """The whole table of documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The whole table of documents, over all cores even if it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

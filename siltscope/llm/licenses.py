@@ -183,7 +183,7 @@ class Scanner:
             d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.with_template.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.cached = Memo(self._scan, 100_000)
+        self.cached = Memo(self._scan, 2000, longest=4 * REACH)
 
     def scan(self, block: str) -> list[tuple[str, float, float, list[str]]]:
         return self.cached[block]

@@ -65,13 +65,15 @@ def harmless(normalizer: dict) -> bool:
 
 
 class Memo(dict):
-    """word -> value; emptied when it has `most` words, so that its memory is bounded."""
+    """word -> value; emptied when it has `most` words, and without words over `longest` characters, so that its memory is bounded."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int = 256):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, word):
+        if len(word) > self.longest:
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         value = self[word] = self.make(word)

@@ -96,6 +96,7 @@ def test_pieces_model_is_whole():
 def test_memo_is_bounded():
     m = tokens.Memo(len, 3)
     assert [m[w] for w in ("a", "bb", "ccc", "dddd")] == [1, 2, 3, 4] and len(m) == 1
+    assert m["x" * 300] == 300 and len(m) == 1
 
 
 def test_token_files(spark, docs, none):
