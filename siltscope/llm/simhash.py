@@ -104,7 +104,7 @@ def near(fp: np.ndarray, plane: np.ndarray, query: np.ndarray, word: np.ndarray,
     return alive, ~past
 
 
-def near_pairs(fp: np.ndarray, size: np.ndarray, radius: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fp: np.ndarray, size: np.ndarray, radius: int, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places a, places b) of the pairs in radius within each of the buckets that lie one after another in fp."""
     n_words = -(-size // 64)
     cost = np.cumsum(size * n_words)
@@ -127,10 +127,10 @@ def near_pairs(fp: np.ndarray, size: np.ndarray, radius: int, at_once: int = 1 <
         for i in range(0, len(query), at_once):
             q, x = query[i : i + at_once], word[i : i + at_once]
             alive, found = near(padded[slot], plane, q, x, radius)
-            if len(alive):
-                bits = np.unpackbits(found.view("u1").reshape(-1, 8), axis=1, bitorder="little")
+            for j in range(0, len(alive), at_once // 64):  # 64 pairs each at most
+                few, bits = alive[j : j + at_once // 64], np.unpackbits(found[j : j + at_once // 64].view("u1").reshape(-1, 8), axis=1, bitorder="little")
                 pair, bit = np.nonzero(bits)
-                a, b = place[slot[q[alive[pair]]]], place[x[alive[pair]] * 64 + bit]
+                a, b = place[slot[q[few[pair]]]], place[x[few[pair]] * 64 + bit]
                 real = b > a  # candidates that are no padding, each pair once
                 yield a[real], b[real]
         at = stop
