@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import documents, free_names, id_and_text, slices
+from siltscope.llm.common import documents, free_names, give_back, id_and_text, slices
 from siltscope.llm.suffixes import Store, order_suffixes, run_ends
 from siltscope.session import cut, discard, ship
 
@@ -118,19 +118,6 @@ def digest128(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
 
-def give_back() -> None:
-    """Return to the system what earlier tasks of this worker have freed."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _arrays(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
@@ -167,6 +154,7 @@ def list_segments(keyed: DataFrame, width: int, gram: int) -> DataFrame:
                             into.append(np.concatenate(x))
                 lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))) for x, t in zip(cols, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), *lists], names=["digest", *names])
+        give_back()
 
     return keyed.mapInArrow(scan, "digest binary, key array<long>, s1 array<long>, s2 array<long>, place array<long>, n array<int>")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import WORD, documents, free_names, slices
+from siltscope.llm.common import WORD, documents, free_names, give_back, slices
 from siltscope.session import ship
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
@@ -187,6 +187,7 @@ def quality(docs: DataFrame, min_words: int = 8, max_covered: float = 0.45, max_
                 got = measure([x or "" for x in part.column("text").to_pylist()], min_words)
                 q = pa.StructArray.from_arrays([pa.array(np.asarray(c, np.int64)) for c in got], names=NAMES)
                 yield pa.RecordBatch.from_arrays([*part.columns, q], names=[*names, into])
+        give_back()
 
     out = docs.mapInArrow(run, _with(docs, into))
     q = F.col(f"`{into}`")

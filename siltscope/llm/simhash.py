@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import documents, free_names, id_and_text
+from siltscope.llm.common import documents, free_names, give_back, id_and_text
 from siltscope.llm.graph import Forest, components
 from siltscope.session import cut, ship
 
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), width) for x in b.column("text")], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -242,6 +243,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> Da
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), width) for x in b.column("text")], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), pa.array(fp)], names=["id", "digest", "fp"])
+        give_back()
 
     marked = docs.select(who[0].alias("id"), who[1].alias("digest"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "id long, digest string, fp long")
     marked = cut(marked, "fingerprints")
