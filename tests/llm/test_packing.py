@@ -48,7 +48,7 @@ def test_merging_of_hundreds_of_tasks_stays_bounded(spark, tmp_path, monkeypatch
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(x.i for x in out) == list(range(20_000)) and {(x.bin, x.at, x.root) for x in out} == {("a", "b", "c")}
     assert bins_of(out, 100) <= sum(sizes) / 100 * 1.04 + 16
-    assert len(merged) >= 3 and max(merged) <= 4 * 16  # four tasks' open bins, whatever the number of tasks
+    assert len(merged) >= 2 and max(merged) <= 4 * 16  # rounds may end early, when one joins little; four tasks' open bins, whatever the number of tasks
 
 
 def test_full_pieces_close_no_bin():
