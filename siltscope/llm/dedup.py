@@ -13,8 +13,9 @@ the whole corpus is needed; equal windows of `width` bytes are brought together
    distances from the anchor. All windows of a strip share a core: the bytes that lie in each of them. Cores that occur once go, and
    a core with one variant (the few bytes to its left and right) has nothing to sort.
 4. Strips with the same core are written as strings of symbols: the bytes on the left, one symbol that stands for the core, the
-   bytes on the right. They are dealt by core into shards, and a shard is sorted by suffixes.py: external induced sorting, with common
-   prefixes counted in bytes, in bounded memory whatever the shard's size. Suffixes that share `width` bytes with a neighbour are repeats.
+   bytes on the right. They are dealt by core into shards, and a shard is sorted, block by block of whole cores, by suffixes.py: external
+   induced sorting, with common prefixes counted in bytes, in bounded memory whatever the shard's or a core's size. A window holds its core, so
+   no two blocks have one in common, and a shard's time is in proportion to its symbols. Suffixes that share `width` bytes with a neighbour are repeats.
 5. A hot core (over `most` variants) is split before it is sorted: its strips are halved, and each half has a longer core. A strip of
    one start is all core. So no task gets all strips around a passage that a third of the documents holds; the method stays the same.
 6. The repeated starts return to the texts by segment; the bytes they cover are cut.
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,21 +227,18 @@ def halved(strips: DataFrame, strip: int) -> DataFrame:
     return strips.mapInArrow(run, STRIPS)
 
 
-def sort_shard(rows: Iterator[pa.RecordBatch], width: int, core_bytes: int, store: Store) -> Iterator[pa.RecordBatch]:
-    """u1, u2, first, last: the repeated starts (counted from the string's begin) of strips c1, c2, u1, u2, left, right, twice, sorted by core."""
-    strings, texts = store.file(), store.file()  # of each string: u1, u2, where it begins, starts, whether it counts twice
-    n = cores = 0
-    last = None
-    for b in rows:
+class CoreBlock:
+    """Strips of some cores, sorted by core, written as strings of symbols; only strings of one core can have a window in common."""
+
+    def __init__(self, store: Store):
+        self.store, self.strings, self.texts = store, store.file(), store.file()  # of each string: u1, u2, where it begins, starts, whether it counts twice
+        self.n = self.cores = 0
+
+    def add(self, b: pa.RecordBatch, fresh: np.ndarray) -> None:
+        """fresh: whether a row is the first of its core."""
         left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
-        core = np.stack([np.asarray(b.column(c)) for c in CORE], 1)
-        fresh = np.ones(len(core), bool)
-        fresh[1:] = (core[1:] != core[:-1]).any(axis=1)
-        if len(core):
-            fresh[0] = last is None or (core[0] != last).any()
-            last = core[-1]
-        ids = cores + np.cumsum(fresh) - 1
-        cores += int(fresh.sum())
+        ids = self.cores + np.cumsum(fresh) - 1
+        self.cores += int(fresh.sum())
         size_l, size_r = np.array([*map(len, left)], np.int64), np.array([*map(len, right)], np.int64)
         total = size_l + size_r + 2
         at = np.cumsum(total) - total
@@ -248,39 +247,67 @@ def sort_shard(rows: Iterator[pa.RecordBatch], width: int, core_bytes: int, stor
             into = np.repeat(skip - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             symbols[into] = np.frombuffer(b"".join(bits), np.uint8)
         symbols[at + size_l] = SEPARATOR + 1 + ids
-        texts.write(symbols.tobytes())
-        starts = size_l + size_r + core_bytes - width + 1
-        strings.write(np.stack([np.asarray(b.column("u1")), np.asarray(b.column("u2")), n + at, starts, np.asarray(b.column("twice").cast(pa.int64()))], 1).tobytes())
-        n += len(symbols)
-    if not n:
-        return
-    texts.flush()
-    strings.flush()
-    t, rows_of = np.memmap(texts, np.int32, "r"), np.memmap(strings, "<i8", "r").reshape(-1, 5)
-    weight = store.array(SEPARATOR + 1 + cores, np.uint8, 1)
-    weight[SEPARATOR + 1 :] = core_bytes
-    again = store.array(n, np.uint8)
-    before = [-1]
-
-    def emit(pos: np.ndarray, common: np.ndarray, _) -> None:
-        far = np.flatnonzero(common >= width)
-        again[pos[far]] = 1
-        again[np.where(far > 0, pos[far - 1], before[0])] = 1
-        before[0] = int(pos[-1])
-
-    order_suffixes(t, store, width, emit, weight)
-    step = max(1, store.chunk // 16)
-    for i in range(0, len(rows_of), step):
-        u1, u2, begin, starts, twice = np.array(rows_of[i : i + step]).T
-        of = np.repeat(np.arange(len(begin)), starts)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
-        hit = np.flatnonzero((again[begin[of] + place] > 0) | (twice[of] > 0))
-        of, place = of[hit], place[hit]
-        end = np.ones(len(of), bool)
-        end[:-1] = (np.diff(of) != 0) | (np.diff(place) != 1)
-        head = np.ones(len(of), bool)
-        head[1:] = end[:-1]
-        yield _longs({"u1": u1[of[head]], "u2": u2[of[head]], "first": place[head], "last": place[end]})
+        self.texts.write(symbols.tobytes())
+        self.strings.write(np.stack([np.asarray(b.column("u1")), np.asarray(b.column("u2")), self.n + at, size_l + size_r, np.asarray(b.column("twice").cast(pa.int64()))], 1).tobytes())
+        self.n += len(symbols)
+
+    def repeats(self, width: int, core_bytes: int) -> Iterator[pa.RecordBatch]:
+        store = self.store
+        self.texts.flush()
+        self.strings.flush()
+        t, rows_of = np.memmap(self.texts, np.int32, "r"), np.memmap(self.strings, "<i8", "r").reshape(-1, 5)
+        weight = store.array(SEPARATOR + 1 + self.cores, np.uint8, 1)
+        weight[SEPARATOR + 1 :] = core_bytes
+        again = store.array(self.n, np.uint8)
+        before = [-1]
+
+        def emit(pos: np.ndarray, common: np.ndarray, _) -> None:
+            far = np.flatnonzero(common >= width)
+            again[pos[far]] = 1
+            again[np.where(far > 0, pos[far - 1], before[0])] = 1
+            before[0] = int(pos[-1])
+
+        order_suffixes(t, store, width, emit, weight)
+        step = max(1, store.chunk // 16)
+        for i in range(0, len(rows_of), step):
+            u1, u2, begin, starts, twice = np.array(rows_of[i : i + step]).T
+            starts = starts + core_bytes - width + 1
+            of = np.repeat(np.arange(len(begin)), starts)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+            hit = np.flatnonzero((again[begin[of] + place] > 0) | (twice[of] > 0))
+            of, place = of[hit], place[hit]
+            end = np.ones(len(of), bool)
+            end[:-1] = (np.diff(of) != 0) | (np.diff(place) != 1)
+            head = np.ones(len(of), bool)
+            head[1:] = end[:-1]
+            yield _longs({"u1": u1[of[head]], "u2": u2[of[head]], "first": place[head], "last": place[end]})
+
+
+def sort_shard(rows: Iterator[pa.RecordBatch], width: int, core_bytes: int, store: Store, block: int | None = None) -> Iterator[pa.RecordBatch]:
+    """u1, u2, first, last: the repeated starts (counted from the string's begin) of strips c1, c2, u1, u2, left, right, twice, sorted by core.
+
+    One suffix order holds all strings of some cores: cores are added until it has `block` symbols (by default two spans of the store, so that
+    its queues are on disk), as the deeper levels of a longer one take more time a symbol. A core is never cut, whatever its size.
+    """
+    most, held, last = block or 2 * store.span, CoreBlock(store), None
+    for b in rows:
+        if not b.num_rows:
+            continue
+        core = np.stack([np.asarray(b.column(c)) for c in CORE], 1)
+        fresh = np.ones(len(core), bool)
+        fresh[1:] = (core[1:] != core[:-1]).any(axis=1)
+        fresh[0] = last is None or (core[0] != last).any()
+        last, first = core[-1], np.flatnonzero(fresh)
+        size = np.asarray(pc.add(pc.binary_length(b.column("left")), pc.binary_length(b.column("right"))), np.int64) + 2
+        ahead, at = np.cumsum(size) - size, 0
+        while len(full := first[(first >= at) & (held.n + ahead[first] - ahead[at] >= most)]):
+            if full[0] > at:
+                held.add(b.slice(at, full[0] - at), fresh[at : full[0]])
+            yield from held.repeats(width, core_bytes)
+            held, at = CoreBlock(store), int(full[0])
+        held.add(b.slice(at), fresh[at:])
+    if held.n:
+        yield from held.repeats(width, core_bytes)
 
 
 def repeats_of(strips: DataFrame, width: int, strip: int, most: int, shard_symbols: int, memory: int) -> DataFrame:
@@ -301,8 +328,8 @@ def repeats_of(strips: DataFrame, width: int, strip: int, most: int, shard_symbo
         once = cut(once, "strings")
         total = once.agg(F.sum(F.octet_length("left") + F.octet_length("right") + 2)).first()[0] or 0
         if total:
-            # large shards, but no fewer than keep the cluster busy
-            shards = int(max(total // shard_symbols, min(2 * spark.sparkContext.defaultParallelism, total >> 20)) + 1)
+            # large shards, but no fewer than keep the cluster busy, in whole rounds of its cores
+            shards = int(max(total // shard_symbols + 1, min(2 * spark.sparkContext.defaultParallelism, (total >> 20) + 1)))
 
             def sort(batches: Iterator[pa.RecordBatch], core_bytes: int = width - strip + 1) -> Iterator[pa.RecordBatch]:
                 give_back()

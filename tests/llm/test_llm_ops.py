@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -361,6 +362,33 @@ def test_weights_stand_for_bytes():
                     assert v == min(200, sum(int(weight[x[p + c]]) for c in range(n)))
 
 
+def test_shards_are_sorted_in_blocks_of_whole_cores(monkeypatch):
+    """One order over a long shard took more time a symbol the longer it was. No order has more than a block and a core; all give the same rows."""
+    r = random.Random(6)
+    width, core_bytes, strips, largest = 20, 13, [], 0
+    for core in range(300):
+        bits = [("".join(r.choices("ab", k=r.randint(0, 7))).encode(), "".join(r.choices("ab", k=r.randint(0, 7))).encode()) for _ in range(200 if core == 150 else r.randint(1, 20))]
+        bits = sorted({x for x in bits if len(x[0] + x[1]) >= 7})
+        largest = max(largest, sum(len(a + b) + 2 for a, b in bits))
+        strips += [(core // 7, core, core, i, a, b, r.random() < 0.1) for i, (a, b) in enumerate(bits)]
+    window = lambda s, p: (s[1], s[4][p:], s[5][: width - core_bytes - len(s[4]) + p])
+    places = lambda s: range(len(s[4] + s[5]) + core_bytes - width + 1)
+    count = Counter(window(s, p) for s in strips for p in places(s))
+    want = {(s[2], s[3], p) for s in strips for p in places(s) if s[6] or count[window(s, p)] > 1}
+    cols = [pa.array(x, t) for x, t in zip(zip(*strips), [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.bool_()])]
+    table = pa.Table.from_arrays(cols, names=["c1", "c2", "u1", "u2", "left", "right", "twice"])
+    sizes, order = [], dedup.order_suffixes
+    monkeypatch.setattr(dedup, "order_suffixes", lambda t, *a: (sizes.append(len(t)), order(t, *a)))
+    total = sum(len(s[4] + s[5]) + 2 for s in strips)
+    for memory, block, rows_each in ((1 << 19, None, 50), (1 << 18, None, 7), (1 << 20, 500, 1), (1 << 20, 500, 10_000), (1 << 20, 1, 64)):
+        sizes.clear()
+        with suffixes.Store(memory) as store:
+            got = [x for b in dedup.sort_shard(iter(table.to_batches(rows_each)), width, core_bytes, store, *[block] * bool(block)) for x in zip(*(c.to_pylist() for c in b.columns))]
+            assert {(u1, u2, p) for u1, u2, first, last in got for p in range(first, last + 1)} == want
+            assert sum(sizes) == total > 2 * max(sizes) and max(sizes) < (block or 2 * store.span) + largest
+    assert len(sizes) == len({s[1] for s in strips})  # a block of one symbol: an order for each core
+
+
 def brute_removed(texts, width):
     count = Counter(d[i : i + width] for d in texts for i in range(len(d) - width + 1))
     out = []
