@@ -15,7 +15,7 @@ the whole corpus is needed; equal windows of `width` bytes are brought together
 4. Strips with the same core are written as strings of symbols: the bytes on the left, one symbol that stands for the core, the
    bytes on the right. They are dealt by core into shards, and a shard is sorted, block by block of whole cores, by suffixes.py: external
    induced sorting, with common prefixes counted in bytes, in bounded memory whatever the shard's or a core's size. A window holds its core, so
-   no two blocks have one in common, and a shard's time is in proportion to its symbols. Suffixes that share `width` bytes with a neighbour are repeats.
+   no two blocks have one in common; a shard's time is in proportion to its symbols, but for cores larger than a block. Suffixes that share `width` bytes with a neighbour are repeats.
 5. A hot core (over `most` variants) is split before it is sorted: its strips are halved, and each half has a longer core. A strip of
    one start is all core. So no task gets all strips around a passage that a third of the documents holds; the method stays the same.
 6. The repeated starts return to the texts by segment; the bytes they cover are cut.
