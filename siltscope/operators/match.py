@@ -7,9 +7,12 @@ each project and pattern, so no window over files is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltscope.operators.extract import parse_groups
+from siltscope.session import cut
+
 KEY = ["category", "pattern", "pattern_ord"]
 
 
@@ -46,6 +49,57 @@ def pattern_matches(files: DataFrame, catalog: DataFrame, import_scope: str = "c
     return both.groupBy("project", *KEY, "ordinal", "path").agg(F.max("by_keyword").alias("by_keyword"), F.max("by_import").alias("by_import"))
 
 
+def patterns_of(catalog: DataFrame) -> list[tuple[tuple, list[str], list[str]]]:
+    """(the pattern's columns, lower-case keywords, lower-case imports) of each pattern, which has the lists of all its rows. The author of the
+    catalogue fixes its size, so it comes to the driver."""
+    out: dict[tuple, tuple[list[str], list[str]]] = {}
+    for r in catalog.select(*KEY, F.transform("keywords", F.lower).alias("keywords"), F.transform("imports", F.lower).alias("imports")).collect():
+        keywords, imports = out.setdefault(tuple(r[:3]), ([], []))
+        keywords += [w for w in r.keywords or [] if w is not None]
+        imports += [i for i in r.imports or [] if i is not None]
+    return [(k, *v) for k, v in out.items()]
+
+
+def matched_groups(files: DataFrame, patterns: list, keep: list[str]) -> DataFrame:
+    """parse_groups, with the places in `patterns` of what files show by keyword and import."""
+    return parse_groups(files, keep, functions=False, words=[w for _, w, _ in patterns], names=[i for _, _, i in patterns])
+
+
+READ = "scan_status NOT IN ('unreadable', 'aborted')"
+#: Places of patterns in one long.
+BITS = 32
+
+
+def as_bits(places: str, word: int) -> Column:
+    """The word of that number, with a bit for each of the places in it."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k % BITS)
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, k: F.when(F.floor(k / BITS) == word, a.bitwiseOR(bit(k))).otherwise(a))
+
+
+def file_matches(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """pattern_matches of files that are not parsed yet, with imports that reach later files. Each file is parsed once.
+
+    A file's patterns are the bits of a few longs, so a file is one row of the only shuffle, which unites files of one project, ordinal and path.
+    The groups are written: the first import of each pattern in a project comes from them before the files do.
+    """
+    patterns, spark = patterns_of(catalog), files.sparkSession
+    groups = cut(matched_groups(files, patterns, ["project", "ordinal", "path"]).where(READ).select("by_keyword", "by_import", "members"), "groups")
+    hits = groups.where(F.size("by_import") > 0).select("by_import", F.explode("members").alias("m")).select(F.col("m.project").alias("project"), F.col("m.ordinal").alias("ordinal"), F.explode("by_import").alias("k"))
+    first = hits.groupBy("project", "k").agg(F.min("ordinal").alias("first")).groupBy("project").agg(F.array(*[F.min(F.when(F.col("k") == k, F.col("first"))) for k in range(len(patterns))]).alias("first"))
+    words = range(max(1, -(-len(patterns) // BITS)))
+    bits = [as_bits("by_keyword", w).alias(f"bits{w}") for w in words]
+    x = groups.select(*bits, F.explode("members").alias("m")).groupBy(F.col("m.project").alias("project"), F.col("m.ordinal").alias("ordinal"), F.col("m.path").alias("path")).agg(*[F.bit_or(f"bits{w}").alias(f"bits{w}") for w in words])
+    x = x.join(cut(first, "first"), "project", "left")
+    rows = F.broadcast(spark.createDataFrame([(*key, k) for k, (key, _, _) in enumerate(patterns)], "category string, pattern string, pattern_ord int, k int"))
+    word = F.lit(None).cast("long")
+    for w in words:
+        word = F.when(F.floor(F.col("k") / BITS) == w, F.col(f"bits{w}")).otherwise(word)
+    by_keyword = F.call_function("getbit", word, F.col("k") % BITS) == 1
+    by_import = F.coalesce(F.col("ordinal") >= F.get("first", F.col("k")), F.lit(False))
+    out = x.join(rows, by_keyword | by_import)
+    return out.select("project", *KEY, "ordinal", "path", by_keyword.alias("by_keyword"), by_import.alias("by_import"))
+
+
 def ranked_files(matches: DataFrame, first: int | None = None) -> DataFrame:
     """project, the pattern's columns, position (from 1, in the order of the walk), path: a pattern's files as rows, or its first few.
 

@@ -36,9 +36,10 @@ TEXT = f"""
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("siltscope_lineitem")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    spread(lineitem).createOrReplaceTempView("siltscope_lineitem")
     made = spark.sql(f"WITH facts AS ({FACTS.format(lineitem='siltscope_lineitem')}) {TEXT}")
-    return spread(files_from(made.select("project", "ordinal", F.concat("name", F.lit(".py")).alias("path"), "content")))
+    return files_from(made.select("project", "ordinal", F.concat("name", F.lit(".py")).alias("path"), "content"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.pattern_matches(parsed(spark, sf_dir), catalog(spark)).select("project", "ordinal", "path", "category", "pattern", "by_keyword", "by_import")
+    return match.file_matches(sources(spark, sf_dir), catalog(spark)).select("project", "ordinal", "path", "category", "pattern", "by_keyword", "by_import")
 
 
 def rating(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +95,7 @@ def files_from(df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     has = set(df.columns)
-    scope = F.col("in_complexity_scope") if "in_complexity_scope" in has else ~F.arrays_overlap(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), F.array(*[F.lit(x) for x in sorted(SKIPPED_BY_COMPLEXITY)]))
+    skipped = [F.contains(F.concat(F.lit("/"), "path"), F.lit(f"/{x}/")) for x in sorted(SKIPPED_BY_COMPLEXITY)]
+    scope = F.col("in_complexity_scope") if "in_complexity_scope" in has else ~reduce(or_, skipped)
     error = F.col("read_error") if "read_error" in has else F.when(F.col("content").isNull(), "null content")
     return df.select("project", F.col("ordinal").cast("long").alias("ordinal"), "path", "content", scope.alias("in_complexity_scope"), error.alias("read_error"))
