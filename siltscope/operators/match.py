@@ -100,6 +100,19 @@ def file_matches(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select("project", *KEY, "ordinal", "path", by_keyword.alias("by_keyword"), by_import.alias("by_import"))
 
 
+def first_matches(files: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """score.project_sizes, and project, category, pattern, ordinal of the first file of each pattern in a project, from one parse of the files.
+    The first file that an import reaches is the one that has it."""
+    patterns, spark = patterns_of(catalog), files.sparkSession
+    kept = F.when(F.expr(READ), F.concat(F.array(F.lit(-1)), F.transform("by_keyword", lambda k: 2 * k), F.transform("by_import", lambda k: 2 * k + 1))).otherwise(F.array(F.lit(-1)))
+    groups = matched_groups(files, patterns, ["project", "ordinal"]).where("scan_status <> 'unreadable'").select("line_count", kept.alias("kept"), F.explode("members").alias("m"))
+    x = groups.select("m.project", "m.ordinal", "line_count", F.explode("kept").alias("k")).groupBy("project", "k").agg(F.count(F.lit(1)).alias("files_scanned"), F.sum("line_count").alias("total_lines"), F.min("ordinal").alias("ordinal"))
+    x = cut(x, "first")
+    rows = F.broadcast(spark.createDataFrame([(*key, k) for k, (key, _, _) in enumerate(patterns)], "category string, pattern string, pattern_ord int, p int"))
+    found = x.where("k >= 0 AND (k % 2 = 0 OR project IS NOT NULL AND ordinal IS NOT NULL)").join(rows, F.floor(F.col("k") / 2) == F.col("p")).select("project", *KEY, "ordinal")
+    return x.where("k = -1").select("project", "files_scanned", "total_lines"), found
+
+
 def ranked_files(matches: DataFrame, first: int | None = None) -> DataFrame:
     """project, the pattern's columns, position (from 1, in the order of the walk), path: a pattern's files as rows, or its first few.
 

@@ -62,9 +62,9 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, c = parsed(spark, sf_dir), catalog(spark)
-    sizes = score.project_sizes(p)
-    return score.rate(sizes, sizes, score.pattern_weights(match.pattern_matches(p, c), c))
+    c = catalog(spark)
+    sizes, first = match.first_matches(sources(spark, sf_dir), c)
+    return score.rate(sizes, sizes, score.pattern_weights(first, c))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:

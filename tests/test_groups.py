@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltscope.operators import extract, match
+from siltscope.operators import extract, match, score
 from siltscope.operators.extract import Facts, parse, parse_groups
 from siltscope.plans import generated
 from siltscope.sources.catalog import SCHEMA, catalog, entries
@@ -87,3 +87,19 @@ def test_groups_are_made_in_parts(spark):
     g = parse_groups(files, ["project", "ordinal", "path"])
     got = g.select("scan_status", "line_count", F.explode("members").alias("m")).select("m.project", "m.ordinal", "m.path", "scan_status", "line_count")
     alike(got, extract.parse_files(files).select("project", "ordinal", "path", "scan_status", "line_count"))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_first_matches(spark, nulls):
+    """The sizes and weights of projects are those of files parsed one by one, with nulls in the keys and files that come twice."""
+    files, c = corpus(spark).where("true" if nulls else "project IS NOT NULL AND ordinal IS NOT NULL"), catalog(spark)
+    parsed = extract.parse_files(files)
+    sizes, first = match.first_matches(files, c)
+    alike(sizes, score.project_sizes(parsed))
+    alike(score.pattern_weights(first, c), score.pattern_weights(match.pattern_matches(parsed, c), c))
+
+
+def test_files_are_parsed_once_for_their_rating(spark, tmp_path):
+    lineitem(spark, tmp_path)
+    plan = generated.rating(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
