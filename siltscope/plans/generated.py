@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltscope.operators import complexity as cx
 from siltscope.operators import match, score
-from siltscope.operators.extract import parse_files
+from siltscope.operators.extract import parse_files, parse_groups
 from siltscope.session import spread
 from siltscope.sources.catalog import catalog
 from siltscope.sources.listing import files_from
@@ -54,7 +54,9 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir).select("project", "ordinal", "path", "scan_status", "line_count", F.array_join("imports", ",").alias("imports"))
+    g = parse_groups(sources(spark, sf_dir), ["project", "ordinal", "path"], functions=False)
+    g = g.select("scan_status", "line_count", F.array_join("imports", ",").alias("imports"), F.explode("members").alias("m"))
+    return g.select("m.project", "m.ordinal", "m.path", "scan_status", "line_count", "imports")
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_files_are_parsed_once_for_their_rating(spark, tmp_path):
     lineitem(spark, tmp_path)
     plan = generated.rating(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") <= 1
+
+
+def test_files_of_groups(spark, tmp_path):
+    """The query has the files' own rows, and no text comes back from the parser."""
+    lineitem(spark, tmp_path)
+    got = generated.files(spark, str(tmp_path))
+    one = extract.parse_files(generated.sources(spark, str(tmp_path)))
+    alike(got, one.select("project", "ordinal", "path", "scan_status", "line_count", F.array_join("imports", ",").alias("imports")))
+    assert "members" in got._jdf.queryExecution().optimizedPlan().toString()
