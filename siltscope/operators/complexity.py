@@ -81,7 +81,12 @@ def first_where(items: str, condition, field: str) -> Column:
 
 def function_complexity(parsed: DataFrame) -> DataFrame:
     """A row for each function of the files in scope: classes, confidence, reasons, and the facts a library user may want."""
-    x = parsed.where("in_complexity_scope").select("project", "ordinal", "path", F.explode("functions").alias("f")).select("project", "ordinal", "path", "f.*")
+    return judged(parsed.where("in_complexity_scope"), "project", "ordinal", "path")
+
+
+def judged(parsed: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, then function_complexity's, for each function in the column functions."""
+    x = parsed.select(*keep, F.explode("functions").alias("f")).select(*keep, "f.*")
     costly = lambda e: e["cost"].contains("n")
     x = x.withColumns({
         "has_log_n": F.exists("loops", lambda e: e["estimated_iterations"] == "log n"),
@@ -110,7 +115,7 @@ def function_complexity(parsed: DataFrame) -> DataFrame:
     params = F.concat(F.lit("Parameters: "), c("n_params").cast("string"), F.lit(" ("), c("n_typed").cast("string"), F.lit(" typed)"))
     reasons = F.concat(F.array_compact(F.array(params, F.when(c("uses_memo"), "Uses memoization decorator"), decide(rules, 2))), space_reasons)
     return x.select(
-        "project", "ordinal", "path", "walk_idx", "name", "line",
+        *keep, "walk_idx", "name", "line",
         decide(rules, 1).alias("time_complexity"),
         space_class(recursive, c("power"), c("linear_at") > 0).alias("space_complexity"),
         confidence(recursive, c("uses_memo"), c("max_loop_depth"), c("n_typed")).alias("confidence"),

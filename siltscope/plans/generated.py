@@ -46,11 +46,19 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_files(sources(spark, sf_dir))
 
 
+def judged(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """members (with the columns `keep`) and what is judged of each function of a group."""
+    return cx.judged(parse_groups(sources(spark, sf_dir).where("in_complexity_scope"), list(keep)), "members")
+
+
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = cx.function_complexity(parsed(spark, sf_dir))
+    f = judged(spark, sf_dir, "project", "ordinal", "path")
     loop = F.transform("loop_analysis", lambda x: F.concat_ws(" ", x["loop_type"], x["iterator_var"], x["iterable_source"], x["estimated_iterations"], x["is_input_dependent"].cast("string"), x["has_early_exit"].cast("string"), x["nested_depth"].cast("string")))
     variable = F.array_sort(F.transform(F.map_values("variables"), lambda v: F.concat_ws(" ", v["name"], v["source"], v["is_input_dependent"].cast("string"))))
-    return f.select("project", "ordinal", "path", "walk_idx", "name", "line", "time_complexity", "space_complexity", "confidence", F.array_join("reasoning", "; ").alias("reasoning"), "has_recursion", "recursion_type", "uses_memoization", "has_early_exit", "dominant_operation", F.array_join(loop, "; ").alias("loops"), F.array_join(variable, "; ").alias("variables"))
+    rest = ["line", "time_complexity", "space_complexity", "confidence", "reasoning", "has_recursion", "recursion_type", "uses_memoization", "has_early_exit", "dominant_operation", "loops", "variables"]
+    f = f.withColumns({"reasoning": F.array_join("reasoning", "; "), "loops": F.array_join(loop, "; "), "variables": F.array_join(variable, "; ")})
+    f = f.select("walk_idx", "name", *rest, F.explode("members").alias("m"))
+    return f.select("m.project", "m.ordinal", "m.path", "walk_idx", F.coalesce("name", "m.name").alias("name"), *rest)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltscope.operators import extract, match, score
+from siltscope.operators import complexity, extract, match, score
 from siltscope.operators.extract import Facts, parse, parse_groups
 from siltscope.plans import generated
 from siltscope.sources.catalog import SCHEMA, catalog, entries
@@ -112,3 +112,22 @@ def test_files_of_groups(spark, tmp_path):
     one = extract.parse_files(generated.sources(spark, str(tmp_path)))
     alike(got, one.select("project", "ordinal", "path", "scan_status", "line_count", F.array_join("imports", ",").alias("imports")))
     assert "members" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_functions_of_groups(spark):
+    """Functions judged once for a group are those judged one by one."""
+    files = corpus(spark)
+    columns = ["line", "time_complexity", "space_complexity", "confidence", "reasoning", "has_recursion", "recursion_type", "uses_memoization", "has_early_exit", "dominant_operation", "loop_analysis"]
+    f = complexity.judged(parse_groups(files.where("in_complexity_scope"), ["project", "ordinal", "path"]), "members")
+    variables = F.array_sort(F.map_values("variables")).alias("variables")
+    got = f.select("walk_idx", "name", *columns, variables, F.explode("members").alias("m")).select("m.project", "m.ordinal", "m.path", "walk_idx", F.coalesce("name", "m.name").alias("name"), *columns, "variables")
+    alike(got, complexity.function_complexity(extract.parse_files(files)).select("project", "ordinal", "path", "walk_idx", "name", *columns, variables))
+
+
+def test_functions_are_judged_in_groups(spark, tmp_path):
+    lineitem(spark, tmp_path)
+    got = generated.functions(spark, str(tmp_path))
+    one = complexity.function_complexity(extract.parse_files(generated.sources(spark, str(tmp_path))))
+    plain = ["project", "ordinal", "path", "walk_idx", "name", "line", "time_complexity", "space_complexity", "confidence", "dominant_operation"]
+    alike(got.select(*plain), one.select(*plain))
+    assert "members" in got._jdf.queryExecution().optimizedPlan().toString()
