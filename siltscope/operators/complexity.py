@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltscope.functions.scalars import py_round
+from siltscope.session import cut
 
 # What a time class holds if it is high.
 HIGH = ("n²", "n³", "n^", "2^n", "k^n")
@@ -142,12 +143,14 @@ def first_high(functions: DataFrame, n: int) -> DataFrame:
 
 def complexity_totals(functions: DataFrame) -> DataFrame:
     """project, total_functions, average_confidence, high_complexity_count and both distributions. Confidences are a few fixed hundredths: they are
-    counted, so that no task holds a project's functions and sums come out alike in any order."""
-    high = F.sum(is_high(F.col("time_complexity")).cast("long")).alias("high_complexity_count")
-    hundredths = F.sum(F.round(F.col("confidence") * 100).cast("long"))
-    out = functions.groupBy("project").agg(F.count(F.lit(1)).alias("total_functions"), hundredths.alias("hundredths"), high)
+    counted, so that no task holds a project's functions and sums come out alike in any order. The functions are read once: a small table of
+    the counts of each project and pair of classes is written, and the rest comes from that."""
+    counted = functions.groupBy("project", "time_complexity", "space_complexity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("hundredths"))
+    counted = cut(counted, "classes")
+    high = F.sum(F.when(is_high(F.col("time_complexity")), F.col("n")).otherwise(F.when(F.col("time_complexity").isNotNull(), 0))).alias("high_complexity_count")
+    out = counted.groupBy("project").agg(F.sum("n").alias("total_functions"), F.sum("hundredths").alias("hundredths"), high)
     for column, name in (("time_complexity", "time_complexity_distribution"), ("space_complexity", "space_complexity_distribution")):
-        counts = distribution(functions, column).groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n_functions")))).alias(name))
+        counts = counted.groupBy("project", column).agg(F.sum("n").alias("n_functions")).groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n_functions")))).alias(name))
         out = out.join(counts, "project", "left")
     mean = py_round(F.col("hundredths") / 100 / F.col("total_functions"), 2).alias("average_confidence")
     return out.select("project", "total_functions", mean, "time_complexity_distribution", "space_complexity_distribution", "high_complexity_count")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltscope.operators import complexity as cx
 from siltscope.operators import match, score
-from siltscope.operators.extract import parse_files, parse_groups
+from siltscope.operators.extract import parse_groups
 from siltscope.session import spread
 from siltscope.sources.catalog import catalog
 from siltscope.sources.listing import files_from
@@ -42,10 +42,6 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from(made.select("project", "ordinal", F.concat("name", F.lit(".py")).alias("path"), "content"))
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_files(sources(spark, sf_dir))
-
-
 def judged(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """members (with the columns `keep`) and what is judged of each function of a group."""
     return cx.judged(parse_groups(sources(spark, sf_dir).where("in_complexity_scope"), list(keep)), "members")
@@ -78,8 +74,8 @@ def rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parsed(spark, sf_dir)
-    out = cx.complexity_totals(cx.function_complexity(p))
+    f = judged(spark, sf_dir, "project").select("time_complexity", "space_complexity", "confidence", F.explode("members").alias("m"))
+    out = cx.complexity_totals(f.select("m.project", "time_complexity", "space_complexity", "confidence"))
     return out.select("project", "total_functions", "average_confidence", "high_complexity_count", *[F.to_json(c).alias(c) for c in ("time_complexity_distribution", "space_complexity_distribution")])
 
 

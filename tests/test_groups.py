@@ -1,5 +1,8 @@
 """Files in groups of the same facts against files parsed one by one."""
 
+import json
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,21 @@ def test_functions_are_judged_in_groups(spark, tmp_path):
     plain = ["project", "ordinal", "path", "walk_idx", "name", "line", "time_complexity", "space_complexity", "confidence", "dominant_operation"]
     alike(got.select(*plain), one.select(*plain))
     assert "members" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_totals_read_functions_once(spark, tmp_path):
+    lineitem(spark, tmp_path)
+    got = generated.summary(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    one = complexity.function_complexity(extract.parse_files(generated.sources(spark, str(tmp_path)))).cache()
+    want = {}
+    for r in one.collect():
+        want.setdefault(r.project, []).append(r)
+    assert got.count() == len(want) == 10
+    for r in got.collect():
+        rows = want[r.project]
+        spread = lambda c: dict(Counter(x[c] for x in rows))  # noqa: E731,B023
+        assert (r.total_functions, r.average_confidence) == (len(rows), round(sum(round(x.confidence * 100) for x in rows) / 100 / len(rows), 2))
+        assert r.high_complexity_count == sum(any(h in x.time_complexity for h in complexity.HIGH) for x in rows)
+        assert (json.loads(r.time_complexity_distribution), json.loads(r.space_complexity_distribution)) == (spread("time_complexity"), spread("space_complexity"))
+    assert complexity.complexity_totals(one.where("false")).count() == 0
